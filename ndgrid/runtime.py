@@ -16,9 +16,15 @@ _shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
+#: Rows that go to a Python worker at a time: texts and chunk payloads may be large, and Spark's default is 10,000.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package on the workers' path, once per application; executors fetch it from the driver."""
     app = spark.sparkContext.applicationId
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
