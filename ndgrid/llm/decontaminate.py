@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ndgrid.runtime import ship
+from ndgrid.llm.rows import map_texts
 
 #: A-Z fold to a-z, digits and every byte of a non-ASCII character stay, all else separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -20,12 +19,7 @@ _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Characters of window text in one automaton (about 50 bytes of memory each); more windows go to further automata.
 MAX_AUTOMATON_CHARS = 4_000_000
 
-HITS = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.StringType())),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-])
+HITS = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 _OUT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
@@ -108,10 +102,10 @@ def item_windows(items: DataFrame, item_id: str, item_text: str, window: int) ->
     return groups
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, keep: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` with what they share with the benchmark ``items``.
 
-    Returns ``keep`` (default: the id column) and a struct ``hits``: n_words, n_hit (words inside any occurrence of a
+    Returns ``keep`` (default: all columns) in a struct ``row``, and a struct ``hits``: n_words, n_hit (words inside any occurrence of a
     window), items (ids with an occurring window, sorted as strings) and spans (character offsets in the original
     text of the maximal runs of hit words). Texts are read whole, one row in gives one row out, so there is no
     shuffle. The windows of the items are the only thing broadcast; they are split into several automata above
@@ -119,23 +113,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_
 
     Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; items with a
     null id are left out, as they cannot be named; items with the same id are one item; repeated documents each get
-    their row; an empty table gives an empty result; columns other than those named are ignored.
+    their row; an empty table gives an empty result; columns of any name may be kept, as they stay inside ``row``.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    groups = item_windows(items, item_id, item_text, window)
-    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(g)) for g in groups]
-
-    def run(batches):
-        for batch in batches:
-            hits = scan(batch.column(batch.num_columns - 1).to_pylist(), [(k, b.value) for k, b in sent])
-            column = pa.array([dict(zip(("n_words", "n_hit", "items", "spans"), h)) for h in hits], type=_OUT)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "hits"])
-
-    kept = [doc_id] if keep is None else keep
-    cols = docs.select(*[F.col(c) for c in kept], F.col(text).alias("__scan"))
-    schema = T.StructType([*cols.schema.fields[:-1], T.StructField("hits", HITS)])
-    return cols.mapInArrow(run, schema)
+    context = docs.sparkSession.sparkContext
+    sent = [(uuid.uuid4().hex, context.broadcast(g)) for g in item_windows(items, item_id, item_text, window)]
+
+    def make():
+        groups = [(key, patterns.value) for key, patterns in sent]
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            hits = scan(texts.to_pylist(), groups)
+            return [pa.array([dict(zip(("n_words", "n_hit", "items", "spans"), h)) for h in hits], type=_OUT)]
+
+        return work
+
+    return map_texts(docs, text, keep, make, f"hits {HITS}")
 
 
 def contaminated(hits: str = "hits") -> F.Column:

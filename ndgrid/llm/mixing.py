@@ -105,9 +105,13 @@ PIECES = "array<struct<shard:int,epoch:int,block:bigint,blocks:bigint,words:bigi
 _PIECE = pa.struct([("shard", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64()), ("blocks", pa.int64()), ("words", pa.int64())])
 
 
-def _key(source: str) -> F.Column:
-    """The source as a key that is never null."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+def _key(column: str) -> F.Column:
+    """A column as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("null"))
+
+
+def _hash(doc_id: str, text: str, seed: int) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
 
 def _placed(rows: DataFrame, weights: tuple[float, ...], block_words: int) -> tuple[DataFrame, dict]:
@@ -138,11 +142,12 @@ def _placed(rows: DataFrame, weights: tuple[float, ...], block_words: int) -> tu
     return placed, {r.sk: r.b for r in sizes}
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
     """Every row of ``docs`` with what the mix takes of it.
 
-    Returns ``row`` (a struct of ``keep``, default the id), size, source_size, target (of the source), taken and
-    ``pieces``: shard, epoch, first block, number of blocks and words of each run of blocks that a shard holds.
+    Returns id, h (a hash of id and text), size, source_size, target (of the source), taken and ``pieces``: shard,
+    epoch, first block, number of blocks and words of each run of blocks that a shard holds. Texts are read once, for
+    their sizes and hashes, and never shuffled.
 
     Sizes and hashes are computed once and written to the shared folder. Ranks come from counts for each (source, hash
     range) and a rank within the range, so a source with a third of all rows is spread over RANGES groups. Only the
@@ -151,13 +156,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     Defined cases: a null or empty text has size 0 and no pieces; a null source is one source, the last; rows with the
     same id and text are interchangeable and each keep their row; an empty table gives an empty result; extra columns
-    are ignored unless kept.
+    are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    kept = [doc_id] if keep is None else keep
-    h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), _key(source).alias("sk"), word_count(F.col(text)).alias("size"), h.alias("h"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), _hash(doc_id, text, seed).alias("h"), F.col(f"`{source}`").cast("string").alias("source"), _key(source).alias("sk"), word_count(F.col(f"`{text}`")).alias("size"))
     placed, blocks = _placed(cut(rows, "mix-sizes"), weights, block_words)
     placed = cut(placed, "mix-placed")
     drawn = {r.sk: (r.e or 0) * blocks[r.sk] + (r.x or 0) for r in placed.groupBy("sk").agg(F.max("epochs").alias("e"), F.sum("extra_blocks").alias("x")).collect()}
@@ -171,14 +174,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         for batch in batches:
             col = {n: batch.column(n).to_pylist() for n in ("sk", "size", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")}
             pieces = [_pieces(sent.value[k], *rest, block_words) for k, *rest in zip(*col.values())]
-            out = [batch.column(n) for n in ("row", "size", "source_size", "target")] + [pa.array(pieces, type=pa.list_(_PIECE))]
-            yield pa.RecordBatch.from_arrays(out, names=["row", "size", "source_size", "target", "pieces"])
+            out = [batch.column(n) for n in ("id", "h", "size", "source_size", "target")] + [pa.array(pieces, type=pa.list_(_PIECE))]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "h", "size", "source_size", "target", "pieces"])
 
-    row = placed.schema["row"].dataType.simpleString()
-    cols = placed.select("row", "size", "source_size", "target", "sk", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")
-    out = cols.mapInArrow(run, f"row {row}, size bigint, source_size bigint, target double, pieces {PIECES}")
+    kind = placed.schema["id"].dataType.simpleString()
+    cols = placed.select("id", "h", "size", "source_size", "target", "sk", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")
+    out = cols.mapInArrow(run, f"id {kind}, h bigint, size bigint, source_size bigint, target double, pieces {PIECES}")
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return out.select("row", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return out.select("id", "h", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
 def _pieces(ends: np.ndarray, size: int, n_blocks: int, source_blocks: int, epochs: int, extra: int, first: int, block_words: int) -> list[dict]:
@@ -205,17 +208,28 @@ def _leading(texts: pd.Series, words: pd.Series) -> pd.Series:
     return pd.Series([t[: end(t, n)] if t else t for t, n in zip(texts, words)])
 
 
-def mixed_documents(mixed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
-    """One row for each (document, epoch) that the mix takes: the columns of ``row`` with the text that was taken,
-    and ``shard`` and ``place``, a hash to sort a shard by. ``row`` must have been kept with its text.
+def mixed_documents(docs: DataFrame, mixed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 7) -> DataFrame:
+    """The mix's documents, in the columns of ``docs``: a row for each epoch in which :func:`mix` takes of a document.
 
     A document that one epoch takes whole keeps its text as it is; of the one at the end of a source's share, the words
-    of the taken blocks, which are its first, remain. Where a shard ends within a document, the document goes to the shard that holds its first block.
+    of the taken blocks, which are its first, remain. Where a shard ends within a document, the document goes to the
+    shard that holds its first block. Rows come out by shard, and within a shard by a hash. Texts are shuffled twice:
+    to meet their draws, and into the shards' order.
     """
-    names = mixed.schema["row"].dataType.names
     runs = F.expr("transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct('epoch', e, 'shard', array_min(transform(filter(pieces, p -> p.epoch = e), p -> p.shard)), 'words', aggregate(filter(pieces, p -> p.epoch = e), 0L, (n, p) -> n + p.words)))")
-    rows = mixed.select("row", "size", F.explode(runs).alias("run"))
+    taken = mixed.where(F.size("pieces") > 0).select(_key("id").alias("__key"), F.col("h").alias("__h"), "size", runs.alias("runs"))
+    # Repeated rows share a key; their draws are put together and met by one of them.
+    drawn = taken.groupBy("__key", "__h").agg(F.max("size").alias("__size"), F.flatten(F.collect_list("runs")).alias("__runs"), F.count("*").alias("n"))
+    drawn = cut(drawn, "mix-drawn")
+    rows = docs.select(F.struct("*").alias("row"), _key(doc_id).alias("__key"), _hash(doc_id, text, seed).alias("__h"))
+    met = rows.join(drawn.drop("n"), ["__key", "__h"])
+    if not drawn.where("n > 1").isEmpty():
+        met = met.dropDuplicates(["__key", "__h"])
+    met = met.select("row", F.col("__h").alias("h"), F.col("__size").alias("size"), F.explode("__runs").alias("run"))
     head = F.pandas_udf(_leading, "string")
-    taken = F.when(F.col("run.words") >= F.col("size"), F.col(f"row.`{text}`")).otherwise(head(F.col(f"row.`{text}`"), F.col("run.words")))
-    place = F.xxhash64(F.lit(seed + 1), F.col(f"row.`{doc_id}`"), F.col("run.epoch"), F.col("run.shard"))
-    return rows.select(*[taken.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names], F.col("run.shard").alias("shard"), place.alias("place"))
+    whole = F.col(f"row.`{text}`")
+    cut_text = F.when(F.col("run.words") >= F.col("size"), whole).otherwise(head(F.when(F.col("run.words") < F.col("size"), whole), F.col("run.words")))
+    place = F.xxhash64(F.lit(seed + 1), "h", "run.epoch")
+    placed = met.select(cut_text.alias("text"), "row", F.col("run.shard").alias("shard"), place.alias("place"))
+    ordered = placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return ordered.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

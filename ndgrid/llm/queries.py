@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ndgrid.llm import decontaminate, mixing, simhash, token_orc
+from ndgrid.llm import bitsliced, decontaminate, langid, licenses, mixing, quality, secrets, simhash, token_counts, token_orc
 from ndgrid.runtime import shared_path
 
 
@@ -31,17 +31,76 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.ids_digest(token_orc.read_tokens(spark, path))
 
 
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"), lambda i: langid.fold(i) != 2)
+    scored = quality.score(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op4_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return bitsliced.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "hits.items").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated("hits").alias("contaminated"))
+    hits = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return hits.select("row.doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "hits.items").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated("hits").alias("contaminated"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "secret-ledger")
+    secrets.commit(_table(spark, sf_dir, "documents"), root, "1", path="doc_id")
+    found = secrets.findings(spark, root, "1")
+    listed = found.select(F.col("path").alias("doc_id"), "spans", secrets.spans_text(F.col("spans")).alias("text"))
+    counts = [secrets.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return listed.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("base_sha256"), F.col("text").alias("spans"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return found.select("row.doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "token-counts")
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id", "source", "lang"])
+    rows = counted.select(F.col("row.doc_id").alias("doc"), "row.source", "row.lang", "tokens")
+    token_counts.commit(rows, root, "1", version="word_bpe_49k")
+    return token_counts.totals(spark, root)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, language_model(docs), keep=["doc_id"])
+    return found.select("row.doc_id", _held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Fitted on a bounded sample of the labelled documents outside the held-out fold."""
+    return langid.fit(docs.where(langid.fold("doc_id") != 2), id_hash=F.xxhash64("doc_id"))
+
+
+def _held_out(doc_id: str):
+    return F.coalesce(langid.fold(doc_id) == 2, F.lit(False))
+
 
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_orc, op3_quality_ranking, op4_bitsliced_topk, op5_decontamination, op6_source_mixing, op7_secret_ledger, op8_license_scan, op9_token_rollups, op10_language_id)}
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_orc, op5_decontamination, op6_source_mixing)}
+_OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 #: Words of a text as DuckDB has them, and every window of ``items`` or of the documents.
 _OP5 = r"""
@@ -56,4 +115,4 @@ its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
-ORACLE_SQL = {"op5_decontamination": _OP5}
+ORACLE_SQL = {"op4_bitsliced_topk": _OP4, "op5_decontamination": _OP5}

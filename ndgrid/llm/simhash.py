@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndgrid.llm.components import components
+from ndgrid.llm.rows import map_texts
 from ndgrid.runtime import cut, ship
 
 #: Reference fingerprints of the distance table.
@@ -65,16 +66,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id, fp (bigint with the fingerprint's bits): one row for each row of ``docs``, without a shuffle."""
-    ship(docs.sparkSession)
+    """doc_id, h, fp: one row for each row of ``docs``, without a shuffle.
 
-    def run(batches):
-        for batch in batches:
-            f = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], names=["doc_id", "fp"])
+    h is Spark's hash of the text, fp a bigint with the fingerprint's bits.
+    """
+    def make():
+        return lambda texts: [pa.array(np.array([fingerprint(t, shingle) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))]
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    return map_texts(rows, "text", ["doc_id", "h"], make, "fp bigint").select("row.doc_id", "row.h", "fp")
 
 
 def forest(fp: np.ndarray, table: np.ndarray, limit: int, side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
@@ -187,10 +187,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     gives an empty result; other columns are ignored.
     """
     marks = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "simhash-fp")
+    classes = _classes(marks, limit, key_rows)
+    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(marks: DataFrame, limit: int, key_rows: int) -> DataFrame:
+    """fp, root (the component's least fingerprint), component_id: one row for each distinct fingerprint."""
     distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), limit=limit, key_rows=key_rows))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-classes")
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return cut(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = 4, key_rows: int = KEY_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component: smallest id (null last), then hash.
+
+    Of rows that are repeated as a whole (id and text), one stays. The rows to keep are found over ids, hashes and
+    fingerprints; the texts are shuffled once, by id and hash, to meet them.
+    """
+    marks = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "simhash-fp")
+    tagged = marks.join(_classes(marks, limit, key_rows).select("fp", "root"), "fp")
+    first = tagged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))).alias("first"))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    kept = cut(first.select(key("first.doc_id").alias("__key"), F.col("first.h").alias("__h")), "simhash-kept")
+    single = marks.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    rows = docs.select(F.struct("*").alias("row"), key(f"`{doc_id}`").alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
+    rows = rows.join(kept, ["__key", "__h"], "left_semi")
+    return (rows if single else rows.dropDuplicates(["__key", "__h"])).select("row.*")
