@@ -36,7 +36,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns, read back from them, each document's place and digest."""
     path = shared_path(spark, "pipeline-tokens")
     token_orc.write_tokens(docs, path, queries.tokenizer_path())
-    return token_orc.ids_digest(token_orc.read_tokens(spark, path))
+    return token_orc.ids_digest(spark, path)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mix", mix), ("token_files", token_files)]

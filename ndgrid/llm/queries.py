@@ -28,7 +28,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens-orc")
     token_orc.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
-    return token_orc.ids_digest(token_orc.read_tokens(spark, path))
+    return token_orc.ids_digest(spark, path)
 
 
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ndgrid.runtime import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,11 +48,12 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 0, 16),
 )
 
-SPAN = "struct<kind:string,start:bigint,end:bigint>"
+SPAN = "struct<kind:string,version:int,start:bigint,end:bigint>"
+FOUND = "struct<kind:string,start:bigint,end:bigint>"
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<kind, start, end>> of a rule's matches, in code points, end exclusive.
+    """array<struct<kind, version, start, end>> of a rule's matches, in code points, end exclusive.
 
     The text between matches and the matches themselves alternate, so their lengths add up to the offsets.
     """
@@ -62,7 +65,7 @@ def rule_spans(text: Column, rule: Rule) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.cast("long").alias("start"), (start + p["len"]).cast("long").alias("end"))
+        span = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), start.cast("long").alias("start"), (start + p["len"]).cast("long").alias("end"))
         return F.struct((start + F.coalesce(p["len"], F.lit(0))).cast("long").alias("at"), F.when(p["ok"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
@@ -116,14 +119,14 @@ def findings(spark: SparkSession, root: str, commit_id: str, *, rules: tuple[Rul
     Blobs without findings are not joined. A blob's path rows are split by adaptive execution if they are many.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    hits = scans(spark, root).where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.array_contains(kinds, F.col("s.kind")))
+    named = F.array(*[F.lit(r.name) for r in rules])
+    hits = scans(spark, root).where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.array_contains(named, F.concat_ws("/", "s.kind", F.col("s.version").cast("string"))))
     sortable = F.struct(F.col("s.start").alias("start"), order[F.col("s.kind")].alias("order"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"))
-    per_blob = hits.groupBy("blob").agg(F.sort_array(F.collect_set(sortable)).alias("found"))
+    per_blob = cut(hits.groupBy("blob").agg(F.sort_array(F.collect_set(sortable)).alias("found")), "secret-findings")
     spans = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     paths = spark.read.parquet(f"{root}/paths/commit={commit_id}")
     joined = paths.select("path", "blob").join(per_blob, "blob", "left")
-    return joined.select("path", F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return joined.select("path", F.coalesce(spans, F.array().cast(f"array<{FOUND}>")).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

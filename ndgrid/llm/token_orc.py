@@ -73,24 +73,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str
     out.write.options(**ORC_OPTIONS).orc(path)
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, start: the ids of all shards before each. One row for each file, from the n_tokens column alone."""
+def shard_starts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(shard, ids of all shards before it): one for each file, as a file listing has, from the n_tokens column alone."""
     totals = sorted((r.shard, r.n) for r in spark.read.orc(path).groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     starts, n = [], 0
     for shard, k in totals:
         starts.append((shard, n))
         n += k
-    return spark.createDataFrame(starts, "shard int, start bigint")
+    return starts
 
 
-def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Every row with ``start``, the ids of all documents before it. Stripes are read in parallel, in any order.
+#: Shards whose starts may be broadcast, 12 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_SHARDS = 500_000
 
-    The shard totals are one row of 12 bytes for each file of ``path``; Spark broadcasts them if they are small enough.
-    """
-    rows = spark.read.orc(path)
-    out = rows.join(shard_starts(spark, path), "shard").withColumn("start", F.col("start") + F.col("offset"))
-    return out.select(columns) if columns else out
+
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of ``path`` that have shard and offset, with ``start``: the ids of all documents before each."""
+    starts = shard_starts(rows.sparkSession, path)
+    if len(starts) <= MAX_BROADCAST_SHARDS:
+        table = F.broadcast(rows.sparkSession.createDataFrame(starts, "shard int, start bigint"))
+    else:
+        table = rows.sparkSession.createDataFrame(starts, "shard int, start bigint")
+    return rows.join(table, "shard").withColumn("start", F.col("start") + F.col("offset"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Every row, with its place. Stripes are read in parallel, in any order."""
+    return with_starts(spark.read.orc(path), path)
 
 
 def read_document(spark: SparkSession, path: str, doc_id) -> DataFrame:
@@ -98,19 +107,24 @@ def read_document(spark: SparkSession, path: str, doc_id) -> DataFrame:
     return spark.read.orc(path).where(F.col("doc_id") == F.lit(doc_id))
 
 
-def ids_digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers)."""
-    ship(rows.sparkSession)
+def ids_digest(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers), from the files.
+
+    Ids go from the reader straight to the checksum; only their digests are joined with the shards' starts.
+    """
+    ship(spark)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(3)
+            ids = batch.column(4)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             at = ids.offsets.to_numpy()
             at = (at - at[0]).tolist()
             view = memoryview(np.ascontiguousarray(flat)).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, type=pa.int64())], names=["doc_id", "shard", "offset", "n_tokens", "ids_crc32"])
 
+    rows = spark.read.orc(path).select("doc_id", "shard", "offset", "n_tokens", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = rows.mapInArrow(run, f"doc_id {kind}, shard int, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    return with_starts(digests, path).select("doc_id", "start", "n_tokens", "ids_crc32")

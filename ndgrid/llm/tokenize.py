@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and pieces of words, kept per worker process, about 130 bytes each; at the bound a cache starts anew.
-CACHE_WORDS = 500_000
+#: Pieces of words kept per worker process, about 130 bytes each; beyond the bound the next slice starts anew.
+CACHE_PIECES = 400_000
 #: Bytes of text that are split into words at a time.
 SLICE_BYTES = 8_000_000
 
-#: A word of lower-case letters and then ASCII marks: the pre-tokenizer always cuts between the two.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: A word of Latin-1 letters and then ASCII marks: the pre-tokenizer always cuts between the two. A word with "<" may
+#: hold the name of a special token and is none.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)$"
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,11 +35,11 @@ class WordEncoder:
     """ids(texts): an Arrow list<int32> array with the ids of each text, ``end_id`` appended if given.
 
     Takes the JSON of a BPE tokenizer whose pre-tokenizer separates letters from marks, drops white space and ends
-    words with </w>. Plain words (lower-case Latin-1 letters, then marks) skip its normaliser and regular expression,
-    which leave them as they are; all others go through the tokenizer itself.
+    words with </w>. Plain words (Latin-1 letters, then marks) only need lower case, and skip its normaliser and
+    regular expression; all others go through the tokenizer itself.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, tokenizer_json: str, end_id: int | None = None, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,13 +50,11 @@ class WordEncoder:
         vocab = self.whole.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.end_id, self.cache_words = end_id, cache_words
-        self.words: dict[str, int] = {}
+        self.end_id, self.cache_pieces = end_id, cache_pieces
         self._forget()
 
     def _forget(self) -> None:
         """Start anew: piece 0 is the empty one."""
-        self.words.clear()
         self.pieces: dict[str, int] = {"": 0}
         self.flat, self.ends = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64)
 
@@ -81,28 +80,27 @@ class WordEncoder:
             found = [e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
             self._add(odd, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
 
-    def _codes(self, words: list[str]) -> np.ndarray:
-        """Two piece numbers for each of the distinct ``words``."""
-        known = self.words
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > self.cache_words:
-                if len(self.pieces) > self.cache_words:
-                    self._forget()
-                known.clear()
-                new = words
-            pieces, plain, odd, cut = self.pieces, {}, {}, []
-            for w in new:
-                # "Of," "of," and "of" share the encoding of "of"; a special token's name is no plain word.
-                m = _PLAIN.fullmatch(w.lower() if w.isascii() else w) if "<" not in w else None
-                a, b = m.groups() if m else (w, "")
-                if a not in pieces:
-                    (plain if m else odd)[a] = None
-                if b not in pieces:
-                    plain[b] = None
-                cut.append((a, b))
-            self._learn(list(plain), [x for x in odd if x not in plain])
-            known.update((w, pieces[a] << 32 | pieces[b]) for w, (a, b) in zip(new, cut))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+    def _numbers(self, pieces: pa.Array, plain: bool) -> np.ndarray:
+        """The piece number of each, new ones encoded."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if new := [x for x in names if x not in self.pieces]:
+            self._learn(*((new, []) if plain else ([], new)))
+        return np.fromiter(map(self.pieces.__getitem__, names), dtype=np.int64, count=len(names))[coded.indices.to_numpy()]
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """(words, 2): two piece numbers for each of the distinct ``words``."""
+        if len(self.pieces) > self.cache_pieces:
+            self._forget()
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(words), 2), dtype=np.int64)
+        mask = pa.array(plain)
+        # "Of," "of," and "of" share the encoding of "of".
+        out[plain, 0] = self._numbers(pc.utf8_lower(pc.struct_field(cut, 0).filter(mask)), True)
+        out[plain, 1] = self._numbers(pc.struct_field(cut, 1).filter(mask), True)
+        out[~plain, 0] = self._numbers(words.filter(pc.invert(mask)), False)
+        return out
 
     def ids(self, texts: pa.Array) -> pa.Array:
         """Null texts count as empty."""
@@ -123,8 +121,7 @@ class WordEncoder:
         first_word = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         if len(coded):
-            codes = self._codes(coded.dictionary.to_pylist())
-            both = np.stack((codes >> 32, codes & 0xFFFFFFFF), axis=1).ravel()
+            both = self._codes(coded.dictionary).ravel()
             starts = np.where(both > 0, self.ends[both - 1], 0)
             of_words, at = _gather(self.flat, starts, np.where(both > 0, self.ends[both] - starts, 0))
             use = coded.indices.to_numpy()
