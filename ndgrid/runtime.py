@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
@@ -39,6 +42,24 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = path
 
 
+def lean(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``work`` over a task's batches; at its end, memory that Arrow and malloc hold free goes back to the system.
+
+    Spark keeps Python workers for later tasks, and what each has once touched would count against the executor.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``; only where that is unset, as in tests, under a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
