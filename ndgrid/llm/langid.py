@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ndgrid.llm.rows import map_texts
-from ndgrid.runtime import ship
+from ndgrid.runtime import lean, ship
 
 #: Labelled rows that a model is fitted on at most, by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_hash=None
                     at = np.array([0])  # a language whose texts have no letters is known all the same
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, bucket int, n bigint")
+    counted = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(lean(run), "lang string, bucket int, n bigint")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
     counts = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(languages))), dtype=np.float64)

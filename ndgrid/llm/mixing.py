@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ndgrid.runtime import cut, ship
+from ndgrid.runtime import cut, lean, ship
 
 #: Words of a block: the targets are met to about half of it.
 BLOCK_WORDS = 64
@@ -179,7 +179,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     kind = placed.schema["id"].dataType.simpleString()
     cols = placed.select("id", "h", "size", "source_size", "target", "sk", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")
-    out = cols.mapInArrow(run, f"id {kind}, h bigint, size bigint, source_size bigint, target double, pieces {PIECES}")
+    out = cols.mapInArrow(lean(run), f"id {kind}, h bigint, size bigint, source_size bigint, target double, pieces {PIECES}")
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
     return out.select("id", "h", "size", "source_size", "target", taken.alias("taken"), "pieces")
 

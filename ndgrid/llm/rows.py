@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ndgrid.runtime import ship
+from ndgrid.runtime import lean, ship
 
 #: Bytes of text that a worker turns into Python objects at a time; a longer single text is taken alone.
 SLICE_BYTES = 8 << 20
@@ -49,7 +49,7 @@ def map_texts(docs: DataFrame, text: str, keep: list[str] | None, make: Callable
             for lo, n in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *work(texts.slice(lo, n))], names=names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def row_key(doc_id: str, text: str) -> list[Column]:

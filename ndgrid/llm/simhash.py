@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ndgrid.llm.components import components
 from ndgrid.llm.rows import map_texts
-from ndgrid.runtime import cut, ship
+from ndgrid.runtime import cut, lean, ship
 
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
@@ -172,7 +172,7 @@ def links(distinct: DataFrame, *, limit: int = 4, key_rows: int = KEY_ROWS, n_pi
         if held is not None and len(held["t"]):
             yield done(held)
 
-    return units.mapInArrow(run, "u bigint, v bigint")
+    return units.mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = 4, key_rows: int = KEY_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ndgrid.llm.tokenize import encoder
-from ndgrid.runtime import ship
+from ndgrid.runtime import lean, ship
 
 #: Text bytes aimed at in one shard; only the number of shards depends on it.
 SHARD_TEXT_BYTES = 24 << 20
@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange(int(shards), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    out = ordered.mapInArrow(run, f"doc_id {kind}, {ROW}")
+    out = ordered.mapInArrow(lean(run), f"doc_id {kind}, {ROW}")
     out.write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -126,5 +126,5 @@ def ids_digest(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.orc(path).select("doc_id", "shard", "offset", "n_tokens", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    digests = rows.mapInArrow(run, f"doc_id {kind}, shard int, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    digests = rows.mapInArrow(lean(run), f"doc_id {kind}, shard int, offset bigint, n_tokens bigint, ids_crc32 bigint")
     return with_starts(digests, path).select("doc_id", "start", "n_tokens", "ids_crc32")
