@@ -42,20 +42,32 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = path
 
 
+#: Allocations of this many bytes get pages of their own, which go back to the system when they are freed.
+MMAP_BYTES = 1 << 20
+_M_MMAP_THRESHOLD = -3
+
+
 def lean(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
-    """``work`` over a task's batches; at its end, memory that Arrow and malloc hold free goes back to the system.
+    """``work`` over a task's batches, in a worker that holds little memory besides what is in use.
 
-    Spark keeps Python workers for later tasks, and what each has once touched would count against the executor.
+    Arrow takes its buffers from malloc, large ones have pages of their own, and after each batch what is free goes
+    back to the system: Spark keeps Python workers for later tasks, and all they hold counts against the executor.
     """
 
     def run(batches):
+        libc = ctypes.CDLL(None)
+        glibc = hasattr(libc, "malloc_trim")
+        if glibc:
+            pa.set_memory_pool(pa.system_memory_pool())
+            libc.mallopt(_M_MMAP_THRESHOLD, MMAP_BYTES)
         try:
-            yield from work(batches)
+            for out in work(batches):
+                yield out
+                if glibc:
+                    libc.malloc_trim(0)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            if glibc:
+                libc.malloc_trim(0)
 
     return run
 
