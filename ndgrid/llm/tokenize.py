@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Pieces of words kept per worker process, about 130 bytes each; beyond the bound the next slice starts anew.
 CACHE_PIECES = 400_000
 #: Bytes of text that are split into words at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 
 #: A word of Latin-1 letters and then ASCII marks: the pre-tokenizer always cuts between the two. A word with "<" may
 #: hold the name of a special token and is none.
