@@ -37,11 +37,13 @@ ROW = "shard int, position bigint, offset bigint, n_tokens bigint, ids array<int
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, shard_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode every whole text, append ``end_id`` and write the shards under ``path``.
 
-    One range shuffle of (id, text) puts the rows in order; encoding and writing then happen in the same task, so ids
-    are never shuffled. The tokenizer's file is read on the driver and broadcast (a vocabulary, of fixed size).
+    One range shuffle puts the rows in order; its bounds are ids and hashes, so the driver never samples texts.
+    Encoding and writing then happen in the same task, so ids are never shuffled. The tokenizer's file is read on the
+    driver and broadcast (a vocabulary, of fixed size).
 
     Defined cases: a null text is empty and has the end id alone; a null id sorts first; rows with the same id sort by
-    text (null as empty) and each keep their row; an empty table writes an empty set; extra columns are ignored.
+    a hash of the text, then by the text (null as empty), and each keep their row; an empty table writes an empty set;
+    extra columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -68,7 +70,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str
                 position, offset = position + rows, int(after[-1])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange(int(shards), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    place = F.xxhash64("text")
+    ordered = rows.repartitionByRange(int(shards), F.col("doc_id"), place).sortWithinPartitions(F.col("doc_id"), place, F.col("text"))
     out = ordered.mapInArrow(lean(run), f"doc_id {kind}, {ROW}")
     out.write.options(**ORC_OPTIONS).orc(path)
 
