@@ -3,10 +3,12 @@
 Texts and templates become lower-case words of letters and digits, then shingles of SHINGLE words. Templates of up to
 M = 2**c words (and over M / 2) form a class. For each class a text is cut into strips of M / 2 words; a window is
 three strips in a row (fewer at the end), one starting at every strip, so every run of M words lies within a window.
-An occurrence has at least M / 2 - SHINGLE + 2 of the at most 3 M / 2 shingles of its window: a Jaccard similarity of
-about a third. Each band is one MinHash, and BANDS of them miss such a window with a chance of (2/3)**BANDS, below
-1e-6. A template that shares a band with a window is a candidate there; the share of its shingles in the window,
-counted exactly, decides.
+A window has at most 3 M / 2 shingles. A template of n words has n - SHINGLE + 1, of which an occurrence holds at
+least CONTAINMENT: for n of five or more that is a quarter of the window's or more (3 of 12, 6 of 24, 12 of 48, ...).
+Each band is one MinHash, and BANDS of them miss such a window with a chance of (3/4)**BANDS, about 1e-8. Templates of
+three or four words share a sixth or more with their window, and are missed with a chance of (5/6)**BANDS, about 1e-5.
+A template that shares a band with a window is a candidate there; the share of its shingles in the window, counted
+exactly, decides. Shingles have three words because notices have as few as five.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from ndgrid.llm.rows import map_texts
 
 SHINGLE = 3
-BANDS = 36
+BANDS = 64
 #: Share of a template's shingles that a window must hold.
 CONTAINMENT = 0.8
 #: Bytes of text that are cut into words together.
@@ -86,7 +88,7 @@ class Templates:
         self.mult, self.add = _bands()
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
         for i, (n, s) in enumerate(zip(self.sizes, self.shingles)):
-            c = max(3, (n - 1).bit_length())
+            c = max(2, (n - 1).bit_length())
             lookup = self.classes.setdefault(c, [{} for _ in range(BANDS)])
             for band, value in zip(lookup, self.minhash(s)):
                 band.setdefault(int(value), []).append(i)
