@@ -26,8 +26,8 @@ SHINGLE = 3
 BANDS = 64
 #: Share of a template's shingles that a window must hold.
 CONTAINMENT = 0.8
-#: Bytes of text that are cut into words together.
-SLICE_BYTES = 4_000_000
+#: Bytes of text that are cut into words together: an array of its words' hashes stays in a core's cache.
+SLICE_BYTES = 500_000
 
 #: Short forms of public licenses' notices, by SPDX identifier. Any mapping may be given instead.
 TEMPLATES = {
@@ -106,40 +106,54 @@ def find(t: Templates, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int,
     """
     found: dict[tuple[int, int], list] = {}
     n_words = np.diff(first)
+    # Shingles by text; a strip's shingles are those that begin in it.
+    k = np.minimum(SHINGLE, n_words)
+    n_sh = np.where(n_words > 0, n_words - k + 1, 0)
+    long = n_words >= SHINGLE
+    if not t.classes or not n_sh.sum():
+        return []
+    at = np.repeat(first[:-1], n_sh) + _counting(n_sh)
+    whole = shingle_hashes(hashes) if len(hashes) >= SHINGLE else np.zeros(len(hashes), dtype=np.uint64)
+    sh = np.zeros(len(at), dtype=np.uint64)
+    ok = np.repeat(long, n_sh)
+    sh[ok] = whole[at[ok]]
+    for i in np.flatnonzero(~long & (n_words > 0)).tolist():
+        sh[np.searchsorted(at, first[i])] = shingle_hashes(hashes[first[i] : first[i + 1]])[0]
+    begin = np.concatenate(([0], np.cumsum(n_sh)))
+    # Strips of a class are whole runs of strips of the smallest one, whose minima are taken once for all classes.
+    fine = 1 << (min(t.classes) - 1)
+    n_fine = -(-n_sh // fine)
+    fine_begin = np.cumsum(n_fine) - n_fine
+    fine_edge = np.repeat(begin[:-1], n_fine) + fine * _counting(n_fine)
+    # A column for each strip; a text's last one is made whole with the last shingle, which leaves the minimum as it is.
+    columns = sh[np.minimum(fine_edge + np.arange(fine)[:, None], np.repeat(begin[1:], n_fine) - 1)]
+    cuts = {}
     for c in sorted(t.classes):
-        strip = 1 << (c - 1)
-        # Shingles by text, cut into strips; a strip's shingles are those that begin in it.
-        k = np.minimum(SHINGLE, n_words)
-        n_sh = np.where(n_words > 0, n_words - k + 1, 0)
-        long = n_words >= SHINGLE
-        if not n_sh.sum():
-            continue
-        at = np.repeat(first[:-1], n_sh) + _counting(n_sh)
-        whole = shingle_hashes(hashes) if len(hashes) >= SHINGLE else np.zeros(len(hashes), dtype=np.uint64)
-        sh = np.zeros(len(at), dtype=np.uint64)
-        ok = np.repeat(long, n_sh)
-        sh[ok] = whole[at[ok]]
-        for i in np.flatnonzero(~long & (n_words > 0)).tolist():
-            sh[np.searchsorted(at, first[i])] = shingle_hashes(hashes[first[i] : first[i + 1]])[0]
-        begin = np.concatenate(([0], np.cumsum(n_sh)))
-        strips = -(-n_sh // strip)
-        edge = np.repeat(begin[:-1], strips) + strip * _counting(strips)
+        ratio = (1 << (c - 1)) // fine
+        strips = -(-n_fine // ratio)
+        number = _counting(strips)
         last_strip = np.repeat(np.cumsum(strips), strips)  # of each strip, the end of its text's strips
-        window_end = np.minimum(np.arange(len(edge)) + 3, last_strip)
-        candidates = []
-        for band in range(BANDS):
-            value = sh * t.mult[band] + t.add[band]
-            low = np.minimum.reduceat(value, edge)
+        window_end = np.minimum(np.arange(len(number)) + 3, last_strip)
+        inside = [np.flatnonzero(np.arange(len(number)) + step < window_end) for step in (1, 2)]
+        cuts[c] = (np.repeat(fine_begin, strips) + ratio * number, np.repeat(begin[:-1], strips) + ratio * fine * number, window_end, inside)
+    candidates: dict[int, set] = {c: set() for c in cuts}
+    value = np.empty_like(columns)
+    for band in range(BANDS):
+        np.multiply(columns, t.mult[band], out=value)
+        np.add(value, t.add[band], out=value)
+        fine_low = value.min(axis=0)
+        for c, (at_fine, _, _, inside) in cuts.items():
+            low = np.minimum.reduceat(fine_low, at_fine) if len(at_fine) < len(fine_low) else fine_low
             win = low.copy()
-            for step in (1, 2):
-                inside = np.flatnonzero(np.arange(len(edge)) + step < window_end)
-                win[inside] = np.minimum(win[inside], low[inside + step])
+            for step, on in enumerate(inside, 1):
+                win[on] = np.minimum(win[on], low[on + step])
             keys = t.keys[c][band]
             spot = np.minimum(np.searchsorted(keys, win), len(keys) - 1)
             hit = np.flatnonzero(keys[spot] == win)
-            candidates += [(w, i) for w in hit.tolist() for i in t.classes[c][band][int(win[w])]]
+            candidates[c].update((w, i) for w in hit.tolist() for i in t.classes[c][band][int(win[w])])
+    for c, (_, edge, window_end, _) in cuts.items():
         edges = np.append(edge, len(sh))
-        for w, i in sorted(set(candidates)):
+        for w, i in sorted(candidates[c]):
             a, b = int(edges[w]), int(edges[window_end[w]])
             part = sh[a:b]
             held = np.isin(part, t.shingles[i])
