@@ -9,10 +9,13 @@ Each band is one MinHash, and BANDS of them miss such a window with a chance of
 three or four words share a sixth or more with their window, and are missed with a chance of (5/6)**BANDS, about 1e-5.
 A template that shares a band with a window is a candidate there; the share of its shingles in the window, counted
 exactly, decides. Shingles have three words because notices have as few as five.
+
+Windows that hold the template and overlap are one region, which :func:`occurrences` splits into occurrences.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -99,12 +102,11 @@ class Templates:
 
 
 def find(t: Templates, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-    """(text, template, containment, first word, last word) for windows that hold a template.
+    """(text, template, containment, first word, last word) of each occurrence of a template.
 
     ``hashes`` are the words' of all texts, ``first`` each text's first word and, last, their number. A text's words
     are followed through on their own: no shingle or window goes across two texts.
     """
-    found: dict[tuple[int, int], list] = {}
     n_words = np.diff(first)
     # Shingles by text; a strip's shingles are those that begin in it.
     k = np.minimum(SHINGLE, n_words)
@@ -151,34 +153,87 @@ def find(t: Templates, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int,
             spot = np.minimum(np.searchsorted(keys, win), len(keys) - 1)
             hit = np.flatnonzero(keys[spot] == win)
             candidates[c].update((w, i) for w in hit.tolist() for i in t.classes[c][band][int(win[w])])
+    out = []
     for c, (_, edge, window_end, _) in cuts.items():
-        edges = np.append(edge, len(sh))
+        edges, most = np.append(edge, len(sh)), 3 << (c - 1)
+        regions: dict[int, list[list[int]]] = {}
         for w, i in sorted(candidates[c]):
             a, b = int(edges[w]), int(edges[window_end[w]])
-            part = sh[a:b]
-            held = np.isin(part, t.shingles[i])
-            share = len(np.unique(part[held])) / len(t.shingles[i])
-            if share >= CONTAINMENT:
+            if len(np.intersect1d(sh[a:b], t.shingles[i])) / len(t.shingles[i]) >= CONTAINMENT:
                 text = int(np.searchsorted(begin, a, side="right") - 1)
-                # Words of the window's shingles that the template has.
-                inside = np.flatnonzero(held)
-                lo, hi = int(at[a + inside[0]] - first[text]), int(at[a + inside[-1]] - first[text] + k[text] - 1)
-                found.setdefault((text, i), []).append((lo, hi, share))
-    out = []
-    for (text, i), spans in found.items():
-        # Windows overlap, so one occurrence is found more than once: the best of those that touch stays.
-        spans.sort()
-        best = []
-        for lo, hi, share in spans:
-            if best and lo <= best[-1][1]:
-                if (share, lo - hi) > (best[-1][2], best[-1][0] - best[-1][1]):
-                    best[-1] = (lo, hi, share)
-            else:
-                best.append((lo, hi, share))
-        out += [(text, i, share, lo, hi) for lo, hi, share in best]
+                known = regions.setdefault(i, [])
+                if known and known[-1][0] == text and a <= known[-1][2]:
+                    known[-1][2] = b
+                else:
+                    known.append([text, a, b])
+        for i, known in regions.items():
+            for text, a, b in known:
+                place = np.minimum(np.searchsorted(t.shingles[i], sh[a:b]), len(t.shingles[i]) - 1)
+                held = np.flatnonzero(t.shingles[i][place] == sh[a:b])
+                at_word = at[a + held] - first[text]
+                for share, lo, hi in occurrences(at_word.tolist(), place[held].tolist(), len(t.shingles[i]), most, int(k[text])):
+                    out.append((text, i, share, lo, hi))
     return sorted(out, key=lambda x: (x[0], x[3], x[1]))
 
 
+def occurrences(at: list[int], shingle: list[int], n: int, most: int, k: int = SHINGLE) -> list[tuple[float, int, int]]:
+    """(containment, first word, last word) of each occurrence of a template of ``n`` distinct shingles.
+
+    ``at`` and ``shingle`` are the places of held shingles of ``k`` words, ascending, and which ones they are. A run of
+    them that spans at most ``most`` shingles and holds CONTAINMENT of the template may be an occurrence; its rank is
+    the distinct shingles it holds over the shingles it spans, or over ``n`` if it spans fewer. A run over two copies
+    spans what lies between as well, so a copy ranks above it. The highest ranks are taken first, then the shorter,
+    then the earlier; occurrences have no word in common. What they leave between them is searched in the same way.
+    """
+    need = next(x for x in range(n + 1) if x / n >= CONTAINMENT)
+    out, parts = [], [(0, len(at))]
+    while parts:
+        begin, end = parts.pop()
+        if end - begin < need:
+            continue
+        runs, counts, distinct, j = [], [0] * n, 0, begin  # j: after the shortest run from i with enough shingles
+        before, seen = [], {}
+        for x in range(begin, end):
+            before.append(seen.get(shingle[x], -1))
+            seen[shingle[x]] = x
+        for i in range(begin, end):
+            while j < end and distinct < need:
+                distinct += not counts[shingle[j]]
+                counts[shingle[j]] += 1
+                j += 1
+            if distinct < need:
+                break
+            counts[shingle[i]] -= 1
+            if counts[shingle[i]]:
+                continue  # the run from the next place is as good and shorter
+            held, last, best = distinct, j - 1, None
+            distinct -= 1
+            room = most  # a longer run cannot rank higher, had it all n shingles
+            while last < end and at[last] - at[i] < room:
+                if last >= j and before[last - begin] >= i:
+                    last += 1
+                    continue
+                held += last >= j
+                span = at[last] - at[i] + 1
+                rank = (held / max(n, span), -span)
+                if best is None or rank > best[0]:
+                    best = (rank, held, last)
+                    room = min(most, int(n / rank[0] + 1e-9))
+                last += 1
+            if best:
+                runs.append((-best[0][0], -best[0][1], i, best[2], best[1]))
+        taken: list[tuple[int, int]] = []
+        for _, _, i, last, held in sorted(runs):
+            spot = bisect.bisect(taken, (i, last))
+            if (not spot or at[taken[spot - 1][1]] + k <= at[i]) and (spot == len(taken) or at[last] + k <= at[taken[spot][0]]):
+                taken.insert(spot, (i, last))
+                out.append((held / n, at[i], at[last] + k - 1))
+        if taken:
+            edges = [begin, *(x for i, last in taken for x in (bisect.bisect(at, at[i] - k, begin, end), bisect.bisect_left(at, at[last] + k, begin, end))), end]
+            parts += list(zip(edges[::2], edges[1::2]))
+    return sorted(out, key=lambda x: x[1])
+
+
 def _counting(n: np.ndarray) -> np.ndarray:
     """0, 1, ... n[0] - 1, 0, 1, ... n[1] - 1, and so on."""
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -201,9 +256,10 @@ def scan(t: Templates, texts: list[str | None]) -> list[list[dict]]:
         # An empty text splits into one empty word, which is none.
         keep = np.repeat(count, np.diff(offsets)).astype(bool)
         first = np.concatenate(([0], np.cumsum(np.diff(offsets) * count)))
+        spans, of = [], None
         for text, i, share, a, b in find(t, hashes[keep], first):
-            original = texts[lo + text]
-            spans = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", original)]
+            if of != text:  # matches come by text
+                spans, of = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", texts[lo + text])], text
             out[lo + text].append({"license": t.names[i], "containment": share, "start": spans[a][0], "end": spans[b][1]})
         lo = hi
     return out
@@ -215,8 +271,8 @@ def find_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, l
     Whole texts, one row for each row, no shuffle. The templates are broadcast: they are a parameter, not data.
 
     Defined cases: a null or empty text has no matches; a text or template of fewer than SHINGLE words is one shingle;
-    templates without words are left out; several occurrences are several matches; repeated rows each get theirs; an
-    empty table gives an empty result; columns of any name may be kept, as they stay inside ``row``.
+    templates without words are left out; several occurrences are several matches, also next
+    to each other; repeated rows each get theirs; an empty table gives an empty result; columns of any name may be kept, as they stay inside ``row``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 

@@ -246,6 +246,32 @@ def test_licenses_are_found_and_clean_texts_are_not(spark, docs, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def test_adjacent_licenses_are_separate_matches():
+    t = licenses.Templates(licenses.TEMPLATES)
+    lines = [x for name in ("MIT", "GPL-3.0", "Apache-2.0") for x in licenses.TEMPLATES[name]]
+    for line in lines:
+        for between in ("\n", " x ", " some words in between "):
+            for n in (1, 2, 3, 50):
+                text = f"start {between.join([line] * n)} end"
+                want, at = [], 6
+                for _ in range(n):
+                    want.append((at, at + len(line.rstrip("."))))
+                    at += len(line) + len(between)
+                got = [(m["start"], m["end"]) for m in licenses.scan(t, [text])[0] if m["containment"] == 1]
+                assert got == want
+
+
+def test_occurrences_are_whole_with_words_changed_and_strays_left_out():
+    t = licenses.Templates({"L": [" ".join(f"t{i}" for i in range(40))]})
+    one = [f"t{i}" for i in range(40)]
+    head, tail = ["x", *one[2:]], [*one[:38], "x"]
+    spans = lambda words: [(len(" ".join(words)[: m["start"]].split()), len(" ".join(words)[: m["end"]].split())) for m in licenses.scan(t, [" ".join(words)])[0]]
+    assert spans(tail + head) == [(0, 38), (40, 78)]
+    assert spans([*one[:20], "put", "in", *one[20:], *one]) == [(0, 42), (42, 82)]
+    assert spans([*one[-3:], "a", "b", *one, "c", *one[:3]]) == [(5, 45)]
+    assert spans(one * 3 + ["x"] * 500 + one) == [(0, 40), (40, 80), (80, 120), (620, 660)]
+
+
 def test_rollups_follow_inserts_revisions_and_deletes(spark):
     root = shared_path(spark, "test-rollups")
     frame = lambda rows: spark.createDataFrame(rows, "doc bigint, source string, lang string, tokens bigint")
