@@ -10,13 +10,16 @@ three or four words share a sixth or more with their window, and are missed with
 A template that shares a band with a window is a candidate there; the share of its shingles in the window, counted
 exactly, decides. Shingles have three words because notices have as few as five.
 
-Windows that hold the template and overlap are one region, which :func:`occurrences` splits into occurrences.
+Windows that hold the template and overlap are one region, which :func:`occurrences` splits into occurrences. Sibling
+licenses share most of their words: an occurrence needs those of REQUIRED exactly, and of templates that overlap the one
+with most shingles there gives the place its name.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +35,77 @@ CONTAINMENT = 0.8
 #: Bytes of text that are cut into words together: an array of its words' hashes stays in a core's cache.
 SLICE_BYTES = 500_000
 
-#: Short forms of public licenses' notices, by SPDX identifier. Any mapping may be given instead.
+_PERMIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_KEEP = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_SHOW = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = "This software is provided by the copyright holders and contributors \"as is\""
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License v{}"
+_USE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+#: Short forms of public licenses' notices, by SPDX identifier. Any mapping may be given instead. What
+#: licenses of one family have in common and does not tell them apart has a LicenseRef of its own.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "MIT": ["Released under the MIT License", f"{_PERMIT}, to deal in the Software without restriction"],
+    "MIT-0": [f"{_PERMIT} (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. The software is provided \"as is\""],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: " + _GNU.format("General Public License", ",", "3")],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "This program is free software; " + _GNU.format("General Public License", ";", "2"), "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3", "This program is free software: " + _GNU.format("Affero General Public License", ",", "3")],
+    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "This library is free software: " + _GNU.format("Lesser General Public License", ",", "3")],
+    "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1", "This library is free software; " + _GNU.format("Lesser General Public License", ";", "2.1")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", _CC.format("-NonCommercial")],
+    "CC-BY-4.0": [_CC.format(""), "Licensed under CC BY 4.0"],
+    "CC-BY-SA-4.0": [_CC.format("-ShareAlike"), "Licensed under CC BY-SA 4.0"],
+    "CC-BY-ND-4.0": [_CC.format("-NoDerivatives"), "Licensed under CC BY-ND 4.0"],
+    "CC-BY-NC-SA-4.0": [_CC.format("-NonCommercial-ShareAlike"), "Licensed under CC BY-NC-SA 4.0"],
+    "CC-BY-NC-ND-4.0": [_CC.format("-NonCommercial-NoDerivatives"), "Licensed under CC BY-NC-ND 4.0"],
+    "CC0-1.0": ["Licensed under CC0 1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
+    "LicenseRef-BSD": [_BSD],
+    "BSD-2-Clause": [f"{_BSD}: {_KEEP} {_AS_IS}"],
+    "BSD-3-Clause": [f"{_BSD}: {_KEEP} {_ENDORSE} {_AS_IS}"],
+    "BSD-4-Clause": [f"{_BSD}: {_KEEP} {_SHOW} {_ENDORSE} {_AS_IS}"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "EPL-2.0": [_EPL.format(". 2.0"), _EPL.format("2.0")],
+    "EPL-1.0": [_EPL.format("1.0")],
+    "ISC": [f"{_USE}, provided that the above copyright notice and this permission notice appear in all copies."],
+    "0BSD": [f"{_USE}. The software is provided \"as is\" and the author disclaims all warranties"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
 
+_TWO, _THREE = ("version 2", "v2", "gplv2"), ("version 3", "v3", "gplv3", "lgplv3", "agplv3")
+#: Words that tell a license from its siblings: of each tuple that a template of it has, an occurrence has one, exactly.
+REQUIRED = {
+    "Apache-2.0": [("Apache License Version 2",)],
+    "MIT": [("to deal in the software",), ("MIT License",)],
+    "MIT-0": [("to do so the software is provided",)],
+    "GPL-3.0": [("GNU General Public License",), _THREE],
+    "GPL-2.0": [("GNU General Public License",), _TWO],
+    "AGPL-3.0": [("GNU Affero General Public License",), _THREE],
+    "LGPL-3.0": [("GNU Lesser General Public License",), _THREE],
+    "LGPL-2.1": [("GNU Lesser General Public License",), ("version 2 1", "v2 1", "lgplv2 1")],
+    "CC-BY-4.0": [("Commons Attribution 4",), ("CC BY 4",)],
+    "CC-BY-NC-4.0": [("Attribution-NonCommercial 4",), ("CC BY-NC 4",)],
+    "CC-BY-SA-4.0": [("Attribution-ShareAlike 4",), ("CC BY-SA 4",)],
+    "CC-BY-ND-4.0": [("Attribution-NoDerivatives 4",), ("CC BY-ND 4",)],
+    "CC-BY-NC-SA-4.0": [("Attribution-NonCommercial-ShareAlike 4",), ("CC BY-NC-SA 4",)],
+    "CC-BY-NC-ND-4.0": [("Attribution-NonCommercial-NoDerivatives 4",), ("CC BY-NC-ND 4",)],
+    "BSD-2-Clause": [("provided with the distribution this software is provided",)],
+    "BSD-3-Clause": [("endorse or promote products",)],
+    "BSD-4-Clause": [("all advertising materials",), ("endorse or promote products",)],
+    "MPL-2.0": [("Public License 2", "Public License v 2", "Public License v2", "Public License version 2")],
+    "EPL-2.0": [("Public License 2", "Public License v 2", "Public License v2", "Public License version 2")],
+    "EPL-1.0": [("Public License 1", "Public License v 1", "Public License v1", "Public License version 1")],
+    "ISC": [("provided that the above copyright notice and this permission notice",)],
+    "0BSD": [("hereby granted the software is provided",)],
+    "BSL-1.0": [("Boost Software License Version 1",)],
+}
+
 MATCHES = "array<struct<license:string,containment:double,start:bigint,end:bigint>>"
 _OUT = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -76,17 +138,34 @@ def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(_FOLD).split()
+
+
+def _runs(h: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Where ``run`` begins in ``h``."""
+    ok = np.ones(max(0, len(h) - len(run) + 1), dtype=bool)
+    for i, x in enumerate(run):
+        ok &= h[i : i + len(ok)] == x
+    return np.flatnonzero(ok)
+
+
 class Templates:
     """The templates' shingles, and for each class a lookup from (band, MinHash) to templates."""
 
     def __init__(self, templates: dict[str, list[str]]):
-        self.names, self.shingles, self.sizes = [], [], []
+        self.names, self.shingles, self.times, self.sizes, self.required = [], [], [], [], []
         for name in sorted(templates):
             for text in templates[name]:
-                words = text.encode("utf-8", "replace").translate(_FOLD).split()
+                words = _words(text)
                 if words:
+                    h = word_hashes(words)
+                    groups = [[word_hashes(_words(x)) for x in group] for group in REQUIRED.get(name, ())]
+                    self.required.append([g for g in groups if any(len(_runs(h, run)) for run in g)])
                     self.names.append(name)
-                    self.shingles.append(np.unique(shingle_hashes(word_hashes(words))))
+                    shingles, times = np.unique(shingle_hashes(h), return_counts=True)
+                    self.shingles.append(shingles)
+                    self.times.append(times.tolist())
                     self.sizes.append(len(words))
         self.mult, self.add = _bands()
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
@@ -171,56 +250,89 @@ def find(t: Templates, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int,
                 place = np.minimum(np.searchsorted(t.shingles[i], sh[a:b]), len(t.shingles[i]) - 1)
                 held = np.flatnonzero(t.shingles[i][place] == sh[a:b])
                 at_word = at[a + held] - first[text]
-                for share, lo, hi in occurrences(at_word.tolist(), place[held].tolist(), len(t.shingles[i]), most, int(k[text])):
+                tells = _teller(t, i, hashes[first[text] : first[text + 1]], int(at_word[0]), int(at_word[-1] + k[text]))
+                for share, lo, hi in occurrences(at_word.tolist(), place[held].tolist(), t.times[i], most, int(k[text]), tells):
                     out.append((text, i, share, lo, hi))
-    return sorted(out, key=lambda x: (x[0], x[3], x[1]))
+    # A place has one name: that of the template with most shingles there, at the same number the larger share.
+    out.sort(key=lambda x: (x[0], -round(x[2] * len(t.shingles[x[1]])), -x[2], x[4] - x[3], x[3], x[1]))
+    kept: list[tuple[int, int, int, int, float]] = []
+    for text, i, share, lo, hi in out:
+        spot = bisect.bisect(kept, (text, lo))
+        if (not spot or kept[spot - 1][:2] < (text, 0) or kept[spot - 1][2] < lo) and (spot == len(kept) or kept[spot][:2] > (text, hi)):
+            kept.insert(spot, (text, lo, hi, i, share))
+    return [(text, i, share, lo, hi) for text, lo, hi, i, share in kept]
+
+
+def _teller(t: Templates, i: int, words: np.ndarray, begin: int, end: int) -> Callable[[int, int], bool]:
+    """Whether words lo to hi, within ``begin`` to ``end``, have what tells template ``i`` from its siblings.
+
+    An occurrence that lacks words at its ends is filled up to the template's length, as those may be written otherwise.
+    """
+    size = t.sizes[i]
+    lo = max(0, begin - size)
+    groups = [[(len(run), (lo + _runs(words[lo : end + size], run)).tolist()) for run in group] for group in t.required[i]]
+
+    def tells(lo: int, hi: int) -> bool:
+        lo, hi = min(lo, hi - size + 1), max(hi, lo + size - 1)
+        return all(any((x := bisect.bisect_left(places, lo)) < len(places) and places[x] + n - 1 <= hi for n, places in group) for group in groups)
+
+    return tells
 
 
-def occurrences(at: list[int], shingle: list[int], n: int, most: int, k: int = SHINGLE) -> list[tuple[float, int, int]]:
-    """(containment, first word, last word) of each occurrence of a template of ``n`` distinct shingles.
+def occurrences(at: list[int], shingle: list[int], times: list[int], most: int, k: int = SHINGLE, tells: Callable[[int, int], bool] = lambda lo, hi: True) -> list[tuple[float, int, int]]:
+    """(containment, first word, last word) of each occurrence of a template that has each of its shingles ``times``.
 
     ``at`` and ``shingle`` are the places of held shingles of ``k`` words, ascending, and which ones they are. A run of
-    them that spans at most ``most`` shingles and holds CONTAINMENT of the template may be an occurrence; its rank is
-    the distinct shingles it holds over the shingles it spans, or over ``n`` if it spans fewer. A run over two copies
-    spans what lies between as well, so a copy ranks above it. The highest ranks are taken first, then the shorter,
-    then the earlier; occurrences have no word in common. What they leave between them is searched in the same way.
+    them that spans at most ``most`` shingles and holds CONTAINMENT of the distinct ones may be an occurrence; its rank
+    is the shingles it holds, each at most ``times``, over those it spans or the template's number, whichever is larger.
+    A run over two copies spans what lies between as well, so a copy ranks above it. The highest ranks are taken first,
+    then the shorter, then the earlier; occurrences have no word in common. What they leave between them is searched in
+    the same way. A run whose first and last word ``tells`` refuses is none.
     """
+    n, length = len(times), sum(times)
     need = next(x for x in range(n + 1) if x / n >= CONTAINMENT)
     out, parts = [], [(0, len(at))]
     while parts:
         begin, end = parts.pop()
         if end - begin < need:
             continue
-        runs, counts, distinct, j = [], [0] * n, 0, begin  # j: after the shortest run from i with enough shingles
-        before, seen = [], {}
+        # For each place, the one before with the same shingle, and the one before by as many as the template has.
+        places: dict[int, list[int]] = {}
+        before = []
         for x in range(begin, end):
-            before.append(seen.get(shingle[x], -1))
-            seen[shingle[x]] = x
+            seen = places.setdefault(shingle[x], [])
+            before.append((seen[-1] if seen else -1, seen[-times[shingle[x]]] if len(seen) >= times[shingle[x]] else -1))
+            seen.append(x)
+        runs, counts, distinct, copies, j = [], [0] * n, 0, 0, begin  # j: after the shortest run from i with enough
         for i in range(begin, end):
             while j < end and distinct < need:
                 distinct += not counts[shingle[j]]
+                copies += counts[shingle[j]] < times[shingle[j]]
                 counts[shingle[j]] += 1
                 j += 1
             if distinct < need:
                 break
+            held, whole, last, best = distinct, copies, j - 1, None
             counts[shingle[i]] -= 1
-            if counts[shingle[i]]:
+            distinct -= not counts[shingle[i]]
+            if counts[shingle[i]] >= times[shingle[i]]:
                 continue  # the run from the next place is as good and shorter
-            held, last, best = distinct, j - 1, None
-            distinct -= 1
-            room = most  # a longer run cannot rank higher, had it all n shingles
+            copies -= 1
+            room = most  # a longer run cannot rank higher, had it all shingles
             while last < end and at[last] - at[i] < room:
-                if last >= j and before[last - begin] >= i:
-                    last += 1
-                    continue
-                held += last >= j
+                if last >= j:
+                    if before[last - begin][1] >= i:
+                        last += 1
+                        continue
+                    held += before[last - begin][0] < i
+                    whole += 1
                 span = at[last] - at[i] + 1
-                rank = (held / max(n, span), -span)
+                rank = (whole / max(length, span), -span)
                 if best is None or rank > best[0]:
                     best = (rank, held, last)
-                    room = min(most, int(n / rank[0] + 1e-9))
+                    room = min(most, int(length / rank[0] + 1e-9))
                 last += 1
-            if best:
+            if best and tells(at[i], at[best[2]] + k - 1):
                 runs.append((-best[0][0], -best[0][1], i, best[2], best[1]))
         taken: list[tuple[int, int]] = []
         for _, _, i, last, held in sorted(runs):
@@ -272,7 +384,7 @@ def find_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, l
 
     Defined cases: a null or empty text has no matches; a text or template of fewer than SHINGLE words is one shingle;
     templates without words are left out; several occurrences are several matches, also next
-    to each other; repeated rows each get theirs; an empty table gives an empty result; columns of any name may be kept, as they stay inside ``row``.
+    to each other; matches have no word in common; repeated rows each get theirs; an empty table gives an empty result; columns of any name may be kept, as they stay inside ``row``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 

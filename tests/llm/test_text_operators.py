@@ -272,6 +272,26 @@ def test_occurrences_are_whole_with_words_changed_and_strays_left_out():
     assert spans(one * 3 + ["x"] * 500 + one) == [(0, 40), (40, 80), (80, 120), (620, 660)]
 
 
+def test_sibling_licenses_have_their_own_names():
+    t = licenses.Templates(licenses.TEMPLATES)
+    names = lambda text: [m["license"] for m in licenses.scan(t, [text])[0]]
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert names(text) == names(f"a b c {text.upper()} d e f") == [name]
+            assert names(f"{text} {text}") == [name] * 2
+    free = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    line = "This work is licensed under the GNU {}General Public License, {}"
+    cc = "This work is licensed under a Creative Commons Attribution{} International License"
+    want = {
+        free.format("", "3"): ["GPL-3.0"], free.format("", "2"): ["GPL-2.0"], free.format("Affero ", "3"): ["AGPL-3.0"], free.format("Lesser ", "3"): ["LGPL-3.0"], free.format("Lesser ", "2.1"): ["LGPL-2.1"],
+        free.format("", "4"): [], free.format("Lesser ", "2"): [], line.format("", "version 2"): ["GPL-2.0"], line.format("", "v3"): ["GPL-3.0"], line.format("", "version 1"): [], line.format("Lesser ", "version 2.1"): ["LGPL-2.1"],
+        cc.format(" 4.0"): ["CC-BY-4.0"], cc.format("-ShareAlike 4.0"): ["CC-BY-SA-4.0"], cc.format("-NonCommercial 4.0"): ["CC-BY-NC-4.0"], cc.format(" 3.0"): [],
+        line.format("", "version 2") + "\n" + line.format("", "version 3"): ["GPL-2.0", "GPL-3.0"],
+        licenses.TEMPLATES["BSD-2-Clause"][0].replace("Redistributions", "* Redistributions").replace("following disclaimer", "disclaimer", 1): ["BSD-2-Clause"],
+    }
+    assert {text: names(text) for text in want} == want
+
+
 def test_rollups_follow_inserts_revisions_and_deletes(spark):
     root = shared_path(spark, "test-rollups")
     frame = lambda rows: spark.createDataFrame(rows, "doc bigint, source string, lang string, tokens bigint")
