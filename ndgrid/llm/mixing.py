@@ -14,6 +14,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ MAX_REPEATS = 3
 RANGES = 4096
 #: Bytes of the broadcast table of quotas; it has a number for each source and shard.
 MAX_QUOTA_BYTES = 8 << 20
+#: Draws less likely than the likeliest one by this factor are left out: no double from 0 to 1 tells them apart.
+FAINT = 1e-30
 
 
 def word_count(text) -> F.Column:
@@ -93,12 +96,31 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Of n drawn from good + bad, how many are good; beyond numpy's 10**9 by the normal approximation."""
+    """Of n drawn from good + bad, how many are good; beyond numpy's 10**9 by the inverse of the distribution.
+
+    Its probabilities, over that of the mode, are products of the ratios of neighbours; what is left out at either end
+    is less likely than the mode by FAINT. They take memory in proportion to the root of good + bad.
+    """
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total = good + bad
-    sd = math.sqrt(n * (good / total) * (bad / total) * (total - n) / max(1, total - 1))
-    return int(min(max(round(rng.normal(n * good / total, sd)), n - bad, 0), good, n))
+    lo, hi = max(0, n - bad), min(good, n)
+    mode = min(max((good + 1) * (n + 1) // (good + bad + 2), lo), hi)
+    up = _products(lambda j: (good - mode - j) / (mode + j + 1) * ((n - mode - j) / (bad - n + mode + j + 1)), hi - mode)
+    down = _products(lambda j: (mode - j) / (good - mode + j + 1) * ((bad - n + mode - j) / (n - mode + j + 1)), mode - lo)
+    share = np.cumsum(np.concatenate((down[::-1], [1.0], up)))
+    return mode - len(down) + int(np.searchsorted(share, rng.random() * share[-1], side="right"))
+
+
+def _products(ratio: Callable[[np.ndarray], np.ndarray], steps: int) -> np.ndarray:
+    """ratio(0), ratio(0) ratio(1) and so on for ``steps`` falling ratios, as long as they are above FAINT."""
+    out, last = [np.zeros(0)], 1.0
+    for lo in range(0, steps, 1 << 16):
+        piece = last * np.cumprod(ratio(np.arange(lo, min(steps, lo + (1 << 16)), dtype=np.int64)))
+        out.append(piece[piece > FAINT])
+        last = float(piece[-1])
+        if last <= FAINT:
+            break
+    return np.concatenate(out)
 
 
 PIECES = "array<struct<shard:int,epoch:int,block:bigint,blocks:bigint,words:bigint>>"

@@ -183,6 +183,22 @@ def test_quotas_split_exactly():
     assert np.ptp(out.sum(axis=1)) <= 3 and np.array_equal(out, mixing.split_quotas(q, 7, 3))
 
 
+def test_quotas_of_many_blocks_split_by_the_same_distribution():
+    rng = np.random.Generator(np.random.PCG64(7))
+    # Rare: two of 10**9, a hundredth drawn; none with a chance of 0.9801.
+    rare = [mixing._hypergeometric(rng, 2, 10**9 - 2, 10**7) for _ in range(20_000)]
+    assert np.bincount(rare, minlength=3)[:3] / 20_000 == pytest.approx([0.9801, 0.0198, 0.0001], abs=0.004)
+    for good, bad, n in [(6 * 10**8, 6 * 10**8, 5 * 10**8), (10**8, 10**11, 10**10)]:
+        total, p = good + bad, good / (good + bad)
+        sd = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
+        z = (np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(400)]) - n * p) / sd
+        assert abs(z.mean()) < 0.25 and abs(z.std() - 1) < 0.2
+    assert [mixing._hypergeometric(rng, *x) for x in [(0, 10**9, 5), (10**9, 0, 5), (10**9, 5, 10**9 + 5), (3, 10**9, 0)]] == [0, 5, 10**9, 0]
+    q = [3 * 10**9, 0, 5, 10**8]
+    out = mixing.split_quotas(q, 5, 3)
+    assert out.sum(axis=0).tolist() == q and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 3
+
+
 def test_mix_meets_targets(docs, empty):
     got = mixing.mix(docs, shard_words=5000).collect()
     assert len(got) == docs.count()
