@@ -19,15 +19,17 @@ _shipped: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
-#: Rows that go to a Python worker at a time: texts and chunk payloads may be large, and Spark's default is 10,000.
+#: Rows that go to a Python worker at a time, where the session does not say: texts and chunk payloads may be large,
+#: and Spark's default is 10,000.
 ARROW_ROWS = 2000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Put this package on the workers' path, once per application; executors fetch it from the driver."""
     app = spark.sparkContext.applicationId
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, ARROW_ROWS)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -72,12 +74,25 @@ def lean(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]
     return run
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, driver and executors must be one process (``local[n]``, as in tests): it is a new folder then.
+    A cluster without a shared folder raises, as what one executor writes to its own disk the others cannot read.
+    """
+    context = spark.sparkContext
+    if base := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return base
+    if not context._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="ndgrid-shared-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only where that is unset, as in tests, under a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ndgrid-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh path in the shared folder."""
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
