@@ -2,21 +2,24 @@
 
 Every version of a file is named by the SHA-256 of its text. The ledger under ``root`` holds, as Parquet:
 
-    paths/commit=ID   path, blob: which blob each path had in that commit
-    scans/commit=ID   blob, rules, spans: what those rules (name and version) found in that blob
+    paths/commit=ID   path, blob: which blob each path has in that commit
+    scans/RUN         blob, rules, spans: what those rules (name and version) found in that blob
 
-A commit scans each distinct blob once, and only with rules that no earlier commit has run on it; findings are then
-joined back to every path that holds the blob. A commit's folders are overwritten as a whole, so running it again
-after a failure gives the same ledger.
+A commit scans each distinct blob once, and only with rules that no run has tried on it; findings are then joined back
+to every path that holds the blob. What a rule finds in a blob depends on nothing else, so scans are only ever added,
+by whichever commit comes first, and serve all others: running a commit again, with the same rows or with other ones,
+takes nothing from the rest. A run that failed is not read, and its blobs are scanned again.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ndgrid.llm import ledger
 from ndgrid.runtime import cut
 
 
@@ -72,59 +75,70 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+SCANS = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
 
 def scans(spark: SparkSession, root: str) -> DataFrame:
-    """blob, rules, spans of all commits."""
-    schema = f"blob binary, rules array<string>, spans array<{SPAN}>, commit string"
-    return spark.read.schema(schema).parquet(f"{root}/scans") if _exists(spark, f"{root}/scans") else spark.createDataFrame([], schema)
+    """blob, rules, spans of all whole runs."""
+    return ledger.read(spark, f"{root}/scans", SCANS)
 
 
 def commit(versions: DataFrame, root: str, commit_id: str, *, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
-    """Add the (path, text) rows of ``versions`` to the ledger and scan what is new in them.
+    """Make the (path, text) rows of ``versions`` the commit's, and scan what is new in them.
 
     A path may occur with several texts, each a version. One representative (path, blob) row of each blob is scanned,
     found by a join on both columns, so a blob with a third of all rows is no hot key; the only wide rows that are
-    shuffled are those of the join.
+    shuffled are those of the join. Of the history only names of blobs and rules are read, and the rows of this
+    commit's blobs go on: where those are few, they are broadcast by their size and the history is not shuffled.
+    After ledger.MAX_PARTS runs the scans are compacted, ordered by blob.
 
     Defined cases: a null text is empty; a null path is a path of its own; repeated rows are one version; an empty
-    table commits nothing; extra columns are ignored.
+    table makes an empty commit; a commit that is made again has its last rows; extra columns are ignored.
     """
     spark = versions.sparkSession
-    key = F.coalesce(F.concat(F.lit("="), F.col(path).cast("string")), F.lit("null"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = versions.select(F.col(path).alias("path"), key.alias("key"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("blob"), body.alias("text"))
+    own, body = F.col(f"`{path}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("="), own.cast("string")), F.lit("null"))
+    rows = versions.select(own.alias("path"), key.alias("key"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("blob"), body.alias("text"))
     at = f"{root}/paths/commit={commit_id}"
     rows.select("path", "key", "blob").write.mode("overwrite").parquet(at)
-    paths = spark.read.parquet(at)
-
     names = F.array(*[F.lit(r.name) for r in rules])
-    done = scans(spark, root).where(F.col("commit") != commit_id).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    one = paths.groupBy("blob").agg(F.min("key").alias("key"))
-    todo = one.join(done, "blob", "left").select("blob", "key", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
-    at = f"{root}/todo/commit={commit_id}"
-    todo.write.mode("overwrite").parquet(at)
-    new = rows.select("key", "blob", "text").join(spark.read.parquet(at), ["key", "blob"])
+    one = cut(spark.read.parquet(at).groupBy("blob").agg(F.min("key").alias("key")), "secret-blobs")
+    known = scans(spark, root).select("blob", "rules").join(one.select("blob"), "blob", "left_semi")
+    seen = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = one.join(seen, "blob", "left").select("blob", "key", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules"))
+    todo = cut(todo.where(F.size("rules") > 0), "secret-todo")
+    new = rows.select("key", "blob", "text").join(todo, ["key", "blob"])
     found = [F.when(F.array_contains("rules", r.name), rule_spans(F.col("text"), r)).otherwise(F.array().cast(f"array<{SPAN}>")) for r in rules]
     out = new.select("blob", "rules", F.concat(*found).alias("spans")).dropDuplicates(["blob"])
-    out.write.mode("overwrite").parquet(f"{root}/scans/commit={commit_id}")
+    out.write.parquet(f"{root}/scans/{uuid.uuid4().hex}")
+    if len(ledger.live(spark, f"{root}/scans")[1]) >= ledger.MAX_PARTS:
+        compact(spark, root)
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Put the scans of all runs together, a row for each blob, in the order of blobs."""
+    paths, names = ledger.live(spark, f"{root}/scans")
+    both = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("rules", "spans")]
+    rows = ledger.read_paths(spark, paths, SCANS).groupBy("blob").agg(*both)
+    ledger.compact(spark, f"{root}/scans", rows.repartitionByRange("blob").sortWithinPartitions("blob"), names)
 
 
 def findings(spark: SparkSession, root: str, commit_id: str, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """path, spans of every path of a commit: what ``rules`` have found in its blob in any commit, by start and then kind.
+    """path, spans of every path of a commit: what ``rules`` have found in its blob in any run, by start and then kind.
 
-    Blobs without findings are not joined. A blob's path rows are split by adaptive execution if they are many.
+    Blobs without findings are not joined. A blob's path rows are split by adaptive execution if they are many. A
+    commit whose last run failed before its paths were whole raises; it has to be made again.
     """
+    if not ledger.exists(spark, f"{root}/paths/commit={commit_id}/_SUCCESS"):
+        raise ValueError(f"commit {commit_id!r} is not there or not whole")
+    paths = spark.read.parquet(f"{root}/paths/commit={commit_id}")
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     named = F.array(*[F.lit(r.name) for r in rules])
     hits = scans(spark, root).where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.array_contains(named, F.concat_ws("/", "s.kind", F.col("s.version").cast("string"))))
+    hits = hits.join(paths.select("blob"), "blob", "left_semi")
     sortable = F.struct(F.col("s.start").alias("start"), order[F.col("s.kind")].alias("order"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"))
     per_blob = cut(hits.groupBy("blob").agg(F.sort_array(F.collect_set(sortable)).alias("found")), "secret-findings")
     spans = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    paths = spark.read.parquet(f"{root}/paths/commit={commit_id}")
     joined = paths.select("path", "blob").join(per_blob, "blob", "left")
     return joined.select("path", F.coalesce(spans, F.array().cast(f"array<{FOUND}>")).alias("spans"))
 
