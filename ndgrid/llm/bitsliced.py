@@ -6,6 +6,9 @@ held as bit slices: bitmap j has a bit for each row whose value has bit j set. A
 a negative q_d the inverted slices count. Carry-save addition (three bitmaps of a weight give one of that weight and
 one of the next) turns them into the bit slices of the score. From the highest slice down, the rows that can still be
 among the k best are narrowed by bitmap AND; rows equal in every slice are at the boundary and go by their id.
+
+Slices have no width of their own, so components may be of any size: those beyond 64 bits are Python integers while
+they are cut into slices, and scores are added up as such.
 """
 
 from __future__ import annotations
@@ -16,42 +19,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ndgrid.runtime import cut, ship
+from ndgrid.runtime import cut, lean, ship
 
-#: Rows of a block, and queries worked on together: one task holds the index of a block and so many queries.
+#: Rows of an index block; a task holds one block at a time.
 BLOCK_ROWS = 16384
-QUERY_ROWS = 256
-#: Quantised components must be below this, so that sums stay exact.
-MAX_COMPONENT = 1 << 40
+#: Queries that go past a block in one unit of work; they come to it in batches, so memory does not depend on it.
+QUERY_ROWS = 1024
+#: Quantised components below this are 64-bit integers.
+SMALL = 1 << 60
+#: The range of a long; ranks are exact beyond it, the score that is shown stops there.
+LONG = (-(1 << 63), (1 << 63) - 1)
 
-INDEX = "block int, ids binary, least array<bigint>, bits array<int>, slices binary"
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+INDEX = "block int, ids binary, least array<string>, bits array<int>, slices binary"
+FOUND = "query_id bigint, query bigint, vec_id bigint, score bigint, place binary"
 
 
 def quantise(vectors: list, scale: float = 256.0) -> np.ndarray:
-    """(rows, dimensions) of floor(scale * x); shorter vectors have zeros at the end."""
+    """(rows, dimensions) of floor(scale * x); shorter vectors have zeros at the end. Python integers if any is large."""
     width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width), dtype=np.float64)
     for row, v in zip(out, vectors):
         row[: len(v)] = v
     out = np.floor(out * scale)
-    if out.size and np.abs(out).max() >= MAX_COMPONENT:
-        raise ValueError(f"a quantised component is {np.abs(out).max():.4g}; scores are exact below {MAX_COMPONENT}")
+    if out.size and np.abs(out).max() >= SMALL:
+        wide = np.empty(out.shape, dtype=object)
+        wide[...] = [[int(x) for x in row] for row in out.tolist()]
+        return wide
     return out.astype(np.int64)
 
 
-def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(values: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(least value, number of slices) of each dimension, and the slices: (all slices, words) of uint64."""
     rows, dims = values.shape
     words = -(-rows // 64)
-    least = values.min(axis=0) if rows else np.zeros(dims, dtype=np.int64)
+    least = [int(x) for x in values.min(axis=0)] if rows else [0] * dims
     bits, slices = np.zeros(dims, dtype=np.int32), []
     for d in range(dims):
-        x = (values[:, d] - least[d]).astype(np.uint64)
+        x = values[:, d] - (least[d] if values.dtype == object else np.int64(least[d]))
         bits[d] = int(x.max()).bit_length() if rows else 0
         for j in range(bits[d]):
             on = np.zeros(words * 64, dtype=np.uint8)
-            on[:rows] = (x >> np.uint64(j)) & np.uint64(1)
+            on[:rows] = (x >> j) & 1
             slices.append(np.packbits(on, bitorder="little").view(np.uint64))
     return least, bits, np.array(slices, dtype=np.uint64).reshape(len(slices), words)
 
@@ -101,89 +109,126 @@ def top_k(score: dict[int, np.ndarray], allowed: np.ndarray, k: int) -> np.ndarr
     return np.concatenate((positions(sure), positions(maybe)[: max(0, k - n_sure)]))
 
 
-def search(ids: np.ndarray, least: np.ndarray, bits: np.ndarray, slices: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of each query's k best rows of one block. Rows stand in ascending order of id."""
-    words = -(-len(ids) // 64)
-    rows = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-    dims = min(len(bits), queries.shape[1])
-    first = np.concatenate(([0], np.cumsum(bits)))
-    # A slice's dimension and weight, and all slices with their inverses behind them.
-    dim_of = np.repeat(np.arange(len(bits)), bits)
-    weight_of = np.arange(len(slices)) - first[dim_of]
-    both = np.concatenate((slices, ~slices))
-    top = (np.int64(1) << bits[:dims].astype(np.int64)) - 1
-    out = []
-    for q, query_id in zip(queries[:, :dims], query_ids):
+class Block:
+    """A block of the index, ready for queries. Rows stand in ascending order of id."""
+
+    def __init__(self, ids: np.ndarray, least: list[int], bits: np.ndarray, slices: np.ndarray):
+        self.ids, self.least, self.bits, self.n_slices = ids, least, bits, len(slices)
+        words = -(-len(ids) // 64)
+        self.rows = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
+        # A slice's dimension and weight, and all slices with their inverses behind them.
+        self.dim_of = np.repeat(np.arange(len(bits)), bits)
+        self.weight_of = np.arange(len(slices)) - (np.cumsum(bits) - bits)[self.dim_of]
+        self.both = np.concatenate((slices, ~slices))
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        """From a row of the index."""
+        bits, ids = np.array(row["bits"], dtype=np.int32), np.frombuffer(row["ids"], dtype=np.int64)
+        slices = np.frombuffer(row["slices"], dtype=np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64))
+        return cls(ids, [int(x) for x in row["least"]], bits, slices)
+
+    def search(self, q: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(row id, score) of the k best rows for the quantised query ``q``."""
+        dims = min(len(self.bits), len(q))
+        q = q[:dims]
         size = np.abs(q)
-        constant = int((q * least[:dims]).sum()) - int((size * top)[q < 0].sum())
-        at = np.flatnonzero(np.concatenate((size, np.zeros(len(bits) - dims, dtype=np.int64)))[dim_of] > 0)
-        row_of = at + np.where(q[dim_of[at]] < 0, len(slices), 0)
+        constant = sum(x * low - (-x * ((1 << b) - 1) if x < 0 else 0) for x, low, b in zip(q.tolist(), self.least, self.bits.tolist()))
+        padded = np.concatenate((size, np.zeros(len(self.bits) - dims, dtype=size.dtype)))
+        at = np.flatnonzero((padded > 0)[self.dim_of])
+        row_of = at + np.where((q < 0)[self.dim_of[at]], self.n_slices, 0)
         columns: dict[int, list[np.ndarray]] = {}
         for i in range(int(size.max()).bit_length() if dims else 0):
-            use = (size[dim_of[at]] >> i) & 1 == 1
-            weights = weight_of[at[use]] + i
+            use = (((padded >> i) & 1) == 1)[self.dim_of[at]].astype(bool)
+            weights = self.weight_of[at[use]] + i
             picked = row_of[use]
             for w in np.unique(weights):
-                columns.setdefault(int(w), []).append(both[picked[weights == w]])
+                columns.setdefault(int(w), []).append(self.both[picked[weights == w]])
         score = add_slices(columns)
-        own = rows
-        if len(same := np.arange(np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, side="right"))):
-            own = rows.copy()
+        own = self.rows
+        if len(same := np.arange(np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, side="right"))):
+            own = own.copy()
             np.bitwise_and.at(own, same // 64, ~(np.uint64(1) << (same % 64).astype(np.uint64)))
-        for p in top_k(score, own, k).tolist():
-            total = sum(1 << w for w, m in score.items() if int(m[p // 64]) >> (p % 64) & 1)
-            out.append((int(query_id), int(ids[p]), total + constant))
-    return out
+        total = lambda p: sum(1 << w for w, m in score.items() if int(m[p // 64]) >> (p % 64) & 1)
+        return [(int(self.ids[p]), total(p) + constant) for p in top_k(score, own, k).tolist()]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of ``vectors`` with the highest inner product for each query row.
+def place(score: int) -> bytes:
+    """Bytes in the order of the integers they stand for: sign, length, value, the latter two inverted below zero."""
+    value = abs(score).to_bytes(max(1, -(-abs(score).bit_length() // 8)), "big")
+    body = len(value).to_bytes(4, "big") + value
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - b for b in body)
 
-    The index is built once, a task for each block, and written to the shared folder. Each (block, group of queries)
-    is one task, which hands on k rows for each query; the best of those are ranked. Nothing is broadcast and
-    nothing but two counts reaches the driver. The work is the queries times the rows, as exact search needs.
 
-    Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row with a
-    null id; vectors of other lengths count as if zeros followed; a query leaves out rows with its own id, and other
-    rows that share an id are candidates each; equal scores go by the smaller id; repeated query rows are answered
-    once; empty tables give an empty result; other columns are ignored. A quantised component of MAX_COMPONENT or
-    more raises, as scores would not be exact.
-    """
-    spark = vectors.sparkSession
-    ship(spark)
+def usable(df: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
+    """vec_id, x of the rows that take part."""
+    rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("x"))
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < float("inf")))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)))
 
-    def usable(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
-        finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)))
 
-    rows, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id", "x"])
-    blocks = max(1, -(-rows.count() // block_rows))
-    groups = max(1, -(-asked.count() // query_rows))
+def build_index(rows: DataFrame, k: int, scale: float, block_rows: int) -> tuple[DataFrame, int]:
+    """The index of (vec_id, x) rows, a row for each block, in the shared folder; the number of blocks.
+
+    Rows that are equal in id and vector are counted first, with partial counts before the shuffle, and at most k + 1
+    of them go on: no result can hold more. So no block gets more than its share, whatever repeats.
+    """
+    counted = rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k + 1)).cast("int").alias("copies"))
+    counted = cut(counted, "bitsliced-rows")
+    blocks = max(1, -(-counted.count() // block_rows))
 
     def to_index(key, table):
-        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-        ids = np.ascontiguousarray(table.column("vec_id").to_numpy()[order])
-        least, bits, slices = build(quantise(table.column("x").to_pylist(), scale)[order])
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "least": pa.array([least.tolist()], pa.list_(pa.int64())), "bits": pa.array([bits.tolist()], pa.list_(pa.int32())), "slices": [slices.tobytes()]})
-
-    index = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(to_index, INDEX)
-    index = cut(index, "bitsliced-index")
-
-    def ask(key, block, some):
-        found: list = []
-        for row in block.to_pylist():
-            bits = np.array(row["bits"], dtype=np.int32)
-            ids = np.frombuffer(row["ids"], dtype=np.int64)
-            slices = np.frombuffer(row["slices"], dtype=np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64))
-            if some.num_rows:
-                found += search(ids, np.array(row["least"], dtype=np.int64), bits, slices, quantise(some.column("x").to_pylist(), scale), some.column("vec_id").to_numpy(), k)
-        cols = list(zip(*found)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
-
-    pairs_left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy("block", "part")
-    grouped = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
-    pairs_right = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("block", "part")
-    best = pairs_left.cogroup(pairs_right).applyInArrow(ask, FOUND)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        times = table.column("copies").to_numpy()
+        ids = np.repeat(table.column("vec_id").to_numpy(), times)
+        order = np.argsort(ids, kind="stable")
+        least, bits, slices = build(np.repeat(quantise(table.column("x").to_pylist(), scale), times, axis=0)[order])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [np.ascontiguousarray(ids[order]).tobytes()], "least": pa.array([[str(x) for x in least]], pa.list_(pa.string())), "bits": pa.array([bits.tolist()], pa.list_(pa.int32())), "slices": pa.array([slices.tobytes()], pa.binary())})
+
+    placed = counted.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
+    return cut(placed.groupBy("block").applyInArrow(to_index, INDEX), "bitsliced-index"), blocks
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of ``vectors`` with the highest inner product for each query row.
+
+    The index is built once, a task for each block, and written to the shared folder. A unit of work is a block and up
+    to ``query_rows`` queries: the block comes first, and the queries stream past it in batches. So a block is sent
+    once for every ``query_rows`` queries, and each hands on k rows for each query; the best of those are ranked.
+    Nothing is broadcast and nothing but two counts reaches the driver. The work is the queries times the rows, as
+    exact search needs.
+
+    Defined cases: a vector that is null or holds a null or non-finite component (times ``scale``) takes no part, nor
+    does a row with a null id; vectors of other lengths count as if zeros followed; a query leaves out rows with its
+    own id, and other rows that share an id are candidates each; equal scores go by the smaller id; query rows that are
+    equal in id and vector are answered once, those with one id and other vectors each on their own; components and
+    scores may be of any size, and a score beyond a long is ranked by its value and shown as the nearest long; empty
+    tables give an empty result; other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    asked = cut(usable(queries, vec_id, embedding, scale).dropDuplicates(["vec_id", "x"]), "bitsliced-queries")
+    index, blocks = build_index(usable(vectors, vec_id, embedding, scale), k, scale, block_rows)
+    parts = max(1, -(-asked.count() // query_rows))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), none("bigint").alias("query_id"), none("bigint").alias("query"), none("array<double>").alias("x"), "ids", "least", "bits", "slices")
+    hashed = F.xxhash64("vec_id", "x")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(hashed, F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("vec_id").alias("query_id"), hashed.alias("query"), "x", none("binary").alias("ids"), none("array<string>").alias("least"), none("array<int>").alias("bits"), none("binary").alias("slices"))
+    units = left.unionByName(right).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
+
+    def ask(batches):
+        block, unit = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    block, unit = Block.of(row), (row["block"], row["part"])
+                elif unit == (row["block"], row["part"]):
+                    q = quantise([row["x"]], scale)[0]
+                    found += [(row["query_id"], row["query"], i, min(max(s, LONG[0]), LONG[1]), place(s)) for i, s in block.search(q, row["query_id"], k)]
+            cols = list(zip(*found)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "query", "vec_id", "score", "place"])
+
+    best = units.mapInArrow(lean(ask), FOUND)
+    rank = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("place"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
