@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ndgrid.llm.rows import map_texts
+from ndgrid.llm.rows import map_texts, slices
 from ndgrid.runtime import lean, ship
 
 #: Labelled rows that a model is fitted on at most, by a hash of their id.
@@ -28,8 +28,10 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language uses a script if so many of its letters are in it.
 SCRIPT_SHARE = 0.01
-#: Characters of text that are worked on together.
+#: Characters of text that are worked on together; a longer text goes part by part.
 SLICE = 4_000_000
+#: Words that a path is followed through one by one; pieces of a text move side by side.
+PIECE = 512
 
 #: Script ranges (first code point of each; a range goes on to the next): fixed values of the Unicode blocks.
 RANGES = (
@@ -107,40 +109,116 @@ class Model:
         return out
 
 
-def viterbi(scores: np.ndarray, n_words: np.ndarray, switch: float) -> np.ndarray:
-    """The best language of every word; ``n_words`` of each text, whose words follow one another in ``scores``.
+def _advance(scores: np.ndarray, begin: np.ndarray, n: np.ndarray, entry: np.ndarray, switch: float, back: np.ndarray | None = None) -> np.ndarray:
+    """Path sums at the end of each piece, given those before its first word; all pieces move one word at a time.
 
-    Texts move one word at a time, all together, longest first, so that those which have ended drop off.
+    Piece i is words ``begin[i]`` to ``begin[i] + n[i]`` of ``scores``. ``back``, if given, takes for each word and
+    language the language before it on the best path. Pieces that have ended drop off, so longer ones must come first.
     """
-    labels = np.zeros(len(scores), dtype=np.int32)
-    order = np.argsort(-n_words, kind="stable")
-    begin = (np.cumsum(n_words) - n_words)[order]
-    n = n_words[order]
-    steps = int(n[0]) if len(n) else 0
-    if not steps:
-        return labels
-    active = np.searchsorted(-n, -np.arange(steps), side="left")  # texts with more than t words
-    best = scores[begin[: active[0]]].astype(np.float64)
-    ended, jumped, source = [None] * len(n), [None] * steps, [None] * steps
-    for t in range(1, steps):
-        m = int(active[t])
-        if m < len(best):
-            for d in range(m, len(best)):
-                ended[d] = int(best[d].argmax())
-            best = best[:m]
-        top = best.argmax(axis=1)
-        jump = best[np.arange(m), top][:, None] - switch
-        jumped[t], source[t] = best < jump, top
-        best = np.maximum(best, jump) + scores[begin[:m] + t]
-    for d in range(len(best)):
-        ended[d] = int(best[d].argmax())
-    now = np.array([e or 0 for e in ended], dtype=np.int64)
-    for t in range(steps - 1, -1, -1):
+    best = entry.astype(np.float64)
+    active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    own = np.arange(scores.shape[1])
+    for t, m in enumerate(active.tolist()):
+        now = best[:m]
+        top = now.argmax(axis=1)
+        jump = now[np.arange(m), top][:, None] - switch
+        if back is not None:
+            back[begin[:m] + t] = np.where(now < jump, top[:, None], own)
+        best[:m] = np.maximum(now, jump) + scores[begin[:m] + t]
+    return best
+
+
+def _retreat(back: np.ndarray, begin: np.ndarray, n: np.ndarray, last: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """From the language of each piece's last word back to the one before its first; ``last`` may have several a piece.
+
+    ``labels``, if given, takes the language of every word (``last`` has one a piece then).
+    """
+    now = last.copy()
+    active = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    for t in range(len(active) - 1, -1, -1):
         m = int(active[t])
-        labels[begin[:m] + t] = now[:m]
-        if t:
-            now[:m] = np.where(jumped[t][np.arange(m), now[:m]], source[t], now[:m])
-    return labels
+        if labels is not None:
+            labels[begin[:m] + t] = now[:m, 0]
+        now[:m] = np.take_along_axis(back[begin[:m] + t], now[:m], axis=1)
+    return now
+
+
+class Lattice:
+    """The best paths through some runs of words, each run going on from given sums (zeros: a text begins).
+
+    Runs are cut into pieces of PIECE words that move side by side. What a piece makes of the sums before it is a
+    max-plus matrix, so the sums before every piece are known after one pass from each language; a second one writes
+    the language before each word, a byte for each word and language. That is all that is kept of a long text.
+    """
+
+    def __init__(self, scores: np.ndarray, n_words: np.ndarray, entry: np.ndarray, switch: float):
+        n_words = np.asarray(n_words, dtype=np.int64)
+        k = scores.shape[1]
+        pieces = -(-n_words // PIECE)
+        self.run = np.repeat(np.arange(len(n_words)), pieces)
+        number = np.arange(len(self.run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.begin = np.repeat(np.cumsum(n_words) - n_words, pieces) + number * PIECE
+        self.n = np.minimum(PIECE, np.repeat(n_words, pieces) - number * PIECE)
+        self.first, self.last = np.cumsum(pieces) - pieces, np.cumsum(pieces) - 1
+        self.exit = entry.astype(np.float64)
+        before = self.exit[self.run]
+        parted = np.flatnonzero(pieces > 1)
+        inner = np.flatnonzero(np.isin(self.run, parted))  # pieces whose effect on others must be known first
+        if len(inner):
+            order = inner[np.argsort(-self.n[inner], kind="stable")]
+            unit = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+            made = _advance(scores, np.repeat(self.begin[order], k), np.repeat(self.n[order], k), np.tile(unit, (len(order), 1)), switch)
+            matrix = dict(zip(order.tolist(), made.reshape(len(order), k, k)))
+            for r in parted.tolist():
+                sums = self.exit[r]
+                for p in range(int(self.first[r]), int(self.last[r]) + 1):
+                    before[p] = sums
+                    sums = (sums[:, None] + matrix[p]).max(axis=0)
+        self.back = np.zeros((len(scores), k), dtype=np.uint8 if k <= 256 else np.uint16)
+        self.order = np.argsort(-self.n, kind="stable")
+        after = np.empty_like(before)
+        after[self.order] = _advance(scores, self.begin[self.order], self.n[self.order], before[self.order], switch, self.back)
+        some = pieces > 0
+        self.exit[some] = after[self.last[some]]
+        self.parted, self.some = parted, some
+
+    def labels(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the language of every word, the one before each run's first), given that of each run's last word."""
+        k = self.back.shape[1]
+        ends = np.zeros((len(self.run), 1), dtype=np.int64)
+        ends[self.last[self.some], 0] = last[self.some]
+        inner = np.flatnonzero(np.isin(self.run, self.parted))
+        if len(inner):
+            order = inner[np.argsort(-self.n[inner], kind="stable")]
+            came = _retreat(self.back, self.begin[order], self.n[order], np.tile(np.arange(k), (len(order), 1)))
+            source = dict(zip(order.tolist(), came))
+            for r in self.parted.tolist():
+                for p in range(int(self.last[r]), int(self.first[r]), -1):
+                    ends[p - 1, 0] = source[p][ends[p, 0]]
+        out, o = np.zeros(len(self.back), dtype=np.int32), self.order
+        start = np.zeros_like(ends)
+        start[o] = _retreat(self.back, self.begin[o], self.n[o], ends[o], out)
+        before = last.copy()
+        before[self.some] = start[self.first[self.some], 0]
+        return out, before
+
+
+def viterbi(scores: np.ndarray, n_words: np.ndarray, switch: float) -> np.ndarray:
+    """The best language of every word; ``n_words`` of each text, whose words follow one another in ``scores``."""
+    lattice = Lattice(scores, n_words, np.zeros((len(n_words), scores.shape[1])), switch)
+    return lattice.labels(lattice.exit.argmax(axis=1))[0]
+
+
+def cuts(text: str, most: int) -> list[tuple[int, int]]:
+    """(start, stop) of parts of about ``most`` characters that end where no letter follows, so no word is in two."""
+    letter, out, lo = _tables()[0], [], 0
+    while lo < len(text):
+        hi = min(len(text), lo + most)
+        while hi < len(text) and letter[ord(text[hi])]:
+            hi += 1
+        out.append((lo, hi))
+        lo = hi
+    return out
 
 
 def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
@@ -152,22 +230,40 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
         while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= SLICE):
             size += len(texts[hi] or "")
             hi += 1
-        out[lo:hi] = _label(model, texts[lo:hi])
+        if size <= SLICE:
+            w = words_of(texts[lo:hi])
+            out[lo:hi] = _named(model, w.text, w.start, w.length, viterbi(model.scores(w), np.bincount(w.text, minlength=hi - lo), model.switch), hi - lo)
+        else:
+            out[lo] = _label_long(model, texts[lo])
         lo = hi
     return out
 
 
-def _label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
-    w = words_of(texts)
-    n_words = np.bincount(w.text, minlength=len(texts))
-    labels = viterbi(model.scores(w), n_words, model.switch)
+def _label_long(model: Model, text: str) -> tuple[str, float, list[dict]]:
+    """A text longer than SLICE, part by part: sums go on from one to the next, and only the way back is kept."""
+    sums, parts = np.zeros((1, len(model.languages))), []
+    for lo, hi in cuts(text, SLICE):
+        w = words_of([text[lo:hi]])
+        lattice = Lattice(model.scores(w), np.array([len(w.first)]), sums, model.switch)
+        sums = lattice.exit - lattice.exit.max()
+        parts.append((lattice, w.start + lo, w.length.astype(np.int32)))
+    last, labels = sums.argmax(axis=1), []
+    for lattice, _, _ in reversed(parts):
+        found, last = lattice.labels(last)
+        labels.append(found)
+    start, length = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    return _named(model, np.zeros(len(start), dtype=np.int64), start, length, np.concatenate(labels[::-1]), 1)[0]
+
+
+def _named(model: Model, text: np.ndarray, start: np.ndarray, length: np.ndarray, labels: np.ndarray, n_texts: int) -> list[tuple[str, float, list[dict]]]:
+    """What :func:`label` gives, from each word's text, place and language."""
     n = len(model.languages)
-    letters = np.bincount(w.text * n + labels, weights=w.length, minlength=len(texts) * n).reshape(len(texts), n)
-    new = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(w.text, prepend=-1) != 0))
+    letters = np.bincount(text * n + labels, weights=length, minlength=n_texts * n).reshape(n_texts, n)
+    new = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     last = np.append(new[1:], len(labels)) - 1
-    spans: list[list[dict]] = [[] for _ in texts]
-    ends = w.start + w.length
-    for t, a, b, k in zip(w.text[new].tolist(), w.start[new].tolist(), ends[last].tolist() if len(new) else [], labels[new].tolist()):
+    spans: list[list[dict]] = [[] for _ in range(n_texts)]
+    ends = start + length
+    for t, a, b, k in zip(text[new].tolist(), start[new].tolist(), ends[last].tolist() if len(new) else [], labels[new].tolist()):
         spans[t].append({"start": a, "end": b, "lang": model.languages[k]})
     total, top = letters.sum(axis=1), letters.argmax(axis=1)
     return [(model.languages[k], float(x[k] / s), p) if s else ("und", 0.0, []) for x, s, k, p in zip(letters, total, top.tolist(), spans)]
@@ -185,10 +281,13 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_hash=None
     Only rows with a language are used, and ``max_rows`` of them at most (those with the lowest ``id_hash``, chosen
     by its range, if given). Counting happens on the executors; the driver gets one number for each language and
     bucket that occurs.
+
+    Defined cases: a null or empty text adds nothing to its language, which is known all the same; rows without a
+    language are left out, repeated rows count each; without any labelled row the only language is 'und'.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.where(F.col(lang).isNotNull())
+    rows = docs.where(F.col(f"`{lang}`").isNotNull())
     if id_hash is not None:
         n = rows.count()
         if n > max_rows:
@@ -196,18 +295,24 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_hash=None
 
     def run(batches):
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in sorted(set(langs)):
-                w = words_of([t for t, x in zip(texts, langs) if x == k])
-                grams = np.bincount(w.buckets, minlength=BUCKETS)
-                script = np.bincount(w.script, weights=w.length, minlength=len(SCRIPTS)).astype(np.int64)
-                counts = np.concatenate((grams, script))
+            totals: dict[str, np.ndarray] = {}
+            for lo, n in slices(batch.column(1)):
+                langs, texts = batch.column(0).slice(lo, n).to_pylist(), batch.column(1).slice(lo, n).to_pylist()
+                for k in set(langs):
+                    own = [t for t, x in zip(texts, langs) if x == k]
+                    for part in [own] if n > 1 else [[t[a:b]] for t in own if t for a, b in cuts(t, SLICE)]:
+                        w = words_of(part)
+                        script = np.bincount(w.script, weights=w.length, minlength=len(SCRIPTS)).astype(np.int64)
+                        counts = np.concatenate((np.bincount(w.buckets, minlength=BUCKETS), script))
+                        totals[k] = totals[k] + counts if k in totals else counts
+                    totals.setdefault(k, np.zeros(BUCKETS + len(SCRIPTS), dtype=np.int64))
+            for k, counts in sorted(totals.items()):
                 at = np.flatnonzero(counts)
                 if len(at) == 0:
                     at = np.array([0])  # a language whose texts have no letters is known all the same
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(lean(run), "lang string, bucket int, n bigint")
+    counted = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), "lang string, bucket int, n bigint")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
     counts = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(languages))), dtype=np.float64)
@@ -232,7 +337,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
 
     Defined cases: a null or empty text, or one without letters, is 'und' with score 0 and no spans; every row in
     gives one row out, repeated or not; an empty table gives an empty result; columns of any name may be kept, as
-    they stay inside ``row``.
+    they stay inside ``row``. A text longer than SLICE gives the same paths as in one go, in memory of a few bytes
+    for each word.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
