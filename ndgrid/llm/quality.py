@@ -9,7 +9,9 @@ shifted so that it lies at ``cut`` and mapped to 0..1.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,28 +30,55 @@ CUT = 0.7
 
 #: Marks that running text has; all others count as odd.
 _USUAL = ".,;:'\"?-()\n "
-#: Characters of a text that are split into words at a time; figures of the slices add up.
+#: Characters of a text that are split into words at a time.
 SLICE = 4_000_000
+_SPACE = re.compile(r"\s")
 
 FEATURES = (
-    "log_words", "word_length", "upper", "digits", "odd_marks", "exclaims", "bars", "distinct_words", "top_word",
+    "log_words", "word_length", "upper", "digits", "odd_marks", "distinct_words", "top_word",
     "repeated_words", "repeated_lines", "log_line_length", "stops", "long_words", "non_ascii", "one_letter",
     "odd_word_ends", "distinct_lines",
 )
 
 
+def _parts(text: str) -> Iterator[str]:
+    """Runs of about SLICE characters that end before white space, so that no word is in two of them."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + SLICE
+        if hi < len(text) and (space := _SPACE.search(text, hi)):
+            hi = space.start()
+        elif hi < len(text):
+            hi = len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _lines(text: str) -> Iterator[str]:
+    lo = 0
+    while lo <= len(text):
+        hi = text.find("\n", lo)
+        hi = len(text) if hi < 0 else hi
+        if hi > lo:
+            yield text[lo:hi]
+        lo = hi + 1
+
+
 def features(text: str | None) -> np.ndarray:
-    """Figures of a whole text, none of which grows with its length but ``log_words``; all 0 for an empty text."""
+    """Figures of a whole text, none of which grows with its length but ``log_words``; all 0 for an empty text.
+
+    They do not depend on SLICE: words of a long text are counted part by part, and its lines one by one.
+    """
     t = text or ""
-    words, lines, again, n_chars = Counter(), Counter(), 0, len(t)
-    n_words = odd_ends = 0
-    for i in range(0, n_chars, SLICE):
-        part = t[i : i + SLICE]
+    words, again, n_chars, n_words, odd_ends, before = Counter(), 0, len(t), 0, 0, None
+    for part in _parts(t):
         w = part.split()
         n_words += len(w)
         words.update(w)
-        again += sum(map(str.__eq__, w, w[1:]))
-        lines.update(x for x in part.split("\n") if x)
+        again += sum(map(str.__eq__, w, w[1:])) + (before is not None and w[:1] == [before])
+        before = w[-1] if w else before
+    lines = Counter(t.split("\n") if n_chars <= SLICE else _lines(t))
+    del lines[""]
     if not n_words:
         return np.zeros(len(FEATURES))
     n_lines, letters = sum(lines.values()), 0
@@ -71,7 +100,7 @@ def features(text: str | None) -> np.ndarray:
     odd = marks - sum(int(counts[ord(c)]) for c in _USUAL[:-2])
     share = lambda n: n / max(1, n_chars)
     return np.array([
-        math.log1p(n_words), word_chars / n_words, upper / max(1, letters), share(digits), share(odd), share(int(counts[33])), share(int(counts[124])),
+        math.log1p(n_words), word_chars / n_words, upper / max(1, letters), share(digits), share(odd),
         len(words) / n_words, max(words.values()) / n_words, again / n_words, 1 - len(lines) / max(1, n_lines), math.log1p(word_chars / max(1, n_lines)), share(int(counts[46])),
         long_words / n_words, share(int(counts[128:].sum())), single / n_words, odd_ends / n_words, math.log1p(len(lines)),
     ])
@@ -145,11 +174,11 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, *, doc_id: str = "doc_id"
     collected. Rows without a label of 0 or 1 or without an id are left out; repeated labels count once, and an id
     with both labels counts for both.
     """
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id"))).dropDuplicates()
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id"))).dropDuplicates()
     n = known.count()
     if n > max_rows:
         known = known.where(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int((1 << 40) * max_rows / n)))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(known), "id")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(known), "id")
     figures = map_texts(rows.withColumn("h", F.xxhash64("id", "t", "y")), "t", ["h", "y"], _labelled_figures, "f array<double>")
     # Ids that many documents share may give more rows than labels: the first by their hash are taken.
     got = figures.select("row.h", "row.y", "f").orderBy("h").limit(max_rows).toPandas()
