@@ -1,20 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A document of n words is cut into blocks of ``block_words`` consecutive words (the last may be shorter). The blocks of
-a source stand in a permuted order: documents by a keyed hash, their blocks one after the other. A source whose target
-is e whole passes and a part takes every block e times, and those of the part from the start of the order once more.
+a source are numbered, documents by a keyed hash, and permuted: a keyed bijection on the numbers gives each block its
+draw in each pass over the source. A source whose target is e whole passes and a part takes every block e times, and
+once more those with the first draws of another pass, the last of them only as far as the target goes.
 
 The draws of all sources (exact block quotas) are split among the output shards by a tree: each node hands its left
 half a multivariate-hypergeometric share of what is left of every source, down to one shard. Shard j then holds the
-draws of each source between two running totals, so shards are disjoint; within a shard rows are ordered by a hash.
+draws of each source between two running totals of its quotas: disjoint blocks from all over the source. Within a shard
+rows are ordered by a hash. What a document gives is the sum of what the shards draw of it.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,16 @@ from pyspark.sql import functions as F
 
 from ndgrid.runtime import cut, lean, ship
 
-#: Words of a block: the targets are met to about half of it.
-BLOCK_WORDS = 64
+#: Words of a block: documents of up to so many stay in one piece.
+BLOCK_WORDS = 512
 #: Words aimed at in one output shard.
 SHARD_WORDS = 8_000_000
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: Hash ranges that each source's order is counted in; no task ever ranks a whole source.
+#: Ranges that each source's order and draws are counted in; no task ever ranks a whole source.
 RANGES = 4096
-#: Bytes of the broadcast table of quotas; it has a number for each source and shard.
+#: Bytes of the broadcast table of quotas, a number for each source and shard. Where shards of the wanted size would
+#: need more, there are as many shards as fit, each larger; what the mix takes is the same, and each block has a shard.
 MAX_QUOTA_BYTES = 8 << 20
 #: Draws less likely than the likeliest one by this factor are left out: no double from 0 to 1 tells them apart.
 FAINT = 1e-30
@@ -123,8 +126,54 @@ def _products(ratio: Callable[[np.ndarray], np.ndarray], steps: int) -> np.ndarr
     return np.concatenate(out)
 
 
-PIECES = "array<struct<shard:int,epoch:int,block:bigint,blocks:bigint,words:bigint>>"
-_PIECE = pa.struct([("shard", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64()), ("blocks", pa.int64()), ("words", pa.int64())])
+RUNS = "array<struct<shard:int,epoch:int,words:bigint,blocks:array<bigint>,part:bigint,part_words:bigint>>"
+
+
+@dataclass
+class Source:
+    """What is taken of a source: ``epochs`` whole passes and ``rest`` words of another."""
+
+    size: int
+    blocks: int
+    target: float
+    epochs: int = 0
+    rest: int = 0
+    last: int = 0  # draws of the last pass
+    last_words: int = 0  # of the last of them
+
+    @property
+    def draws(self) -> int:
+        return self.epochs * self.blocks + self.last
+
+
+def permuted(x: np.ndarray, size: int, key: int) -> np.ndarray:
+    """A keyed bijection of 0 .. size - 1: a Feistel network on the next power of four, walked until it is inside."""
+    half = np.uint64(max(1, -(-max(1, (size - 1).bit_length()) // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.Generator(np.random.PCG64(key)).integers(0, 1 << 63, 6, dtype=np.uint64)
+    out, todo = x.astype(np.uint64), np.arange(len(x))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for k in keys:
+            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= size]
+    return out.astype(np.int64)
+
+
+def _pass_key(seed: int, source: str, epoch: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{seed}:{epoch}:{source}".encode("utf-8", "replace"))
+
+
+def _blocks(size: np.ndarray, n_blocks: np.ndarray, first: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in its document, number in its source, words) of every block of some documents."""
+    row = np.repeat(np.arange(len(size)), n_blocks)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    return row, at, first[row] + at, np.minimum(block_words, size[row] - at * block_words)
 
 
 def _key(column: str) -> F.Column:
@@ -136,122 +185,189 @@ def _hash(doc_id: str, text: str, seed: int) -> F.Column:
     return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
 
-def _placed(rows: DataFrame, weights: tuple[float, ...], block_words: int) -> tuple[DataFrame, dict]:
-    """Each row's place in its source's order and its share of the target; the targets by key."""
-    spark = rows.sparkSession
+def _placed(rows: DataFrame, weights: tuple[float, ...], block_words: int) -> tuple[DataFrame, dict[str, Source]]:
+    """Each row's first block in its source's numbering; the sources by key."""
     shift = 64 - int(math.log2(RANGES))
     rows = rows.withColumns({"n_blocks": F.ceil(F.col("size") / F.lit(block_words)).cast("long"), "range": F.shiftright("h", shift)})
     ranges = cut(rows.groupBy("sk", "range").agg(F.first("source").alias("source"), F.sum("size").alias("w"), F.sum("n_blocks").alias("b")), "mix-ranges")
     # One row for each source, two numbers and a name: what any catalogue of sources holds.
     sizes = ranges.groupBy("sk").agg(F.first("source").alias("source"), F.sum("w").alias("w"), F.sum("b").alias("b")).collect()
     goal = targets([(r.source, r.w) for r in sizes], weights)
-    goals = spark.createDataFrame([(r.sk, float(goal[r.source]), r.w, r.b) for r in sizes], "sk string, target double, source_size bigint, source_blocks bigint")
-    before = W.partitionBy("sk").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    ranges = ranges.select("sk", "range", sums("w", before).alias("w0"), sums("b", before).alias("b0")).join(goals, "sk")
-    inside = W.partitionBy("sk", "range").orderBy("h", "id").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumns({"w1": sums("size", inside), "b1": sums("n_blocks", inside)})
-    epochs = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
-    rest = F.col("target") - F.col("epochs") * F.col("source_size") - F.col("w0") - F.col("w1")
-    extra = F.greatest(F.lit(0), F.least(F.col("n_blocks"), F.rint(rest / block_words))).cast("long")
-    placed = (
-        rows.join(ranges, ["sk", "range"])
-        .withColumn("epochs", epochs)
-        .withColumn("extra_blocks", F.when(F.col("epochs") >= MAX_REPEATS, 0).otherwise(extra).cast("long"))
-        .withColumn("first_block", F.col("b0") + F.col("b1"))
-        .drop("w0", "w1", "b0", "b1", "range")
-    )
-    return placed, {r.sk: r.b for r in sizes}
+    sources = {r.sk: Source(r.w, r.b, float(goal[r.source])) for r in sizes}
+    for s in sources.values():
+        if s.size:
+            s.epochs = min(MAX_REPEATS, int(s.target // s.size))
+            s.rest = 0 if s.epochs == MAX_REPEATS else min(s.size, max(0, round(s.target - s.epochs * s.size)))
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("sk", "range", sums("b", W.partitionBy("sk").orderBy("range")).alias("b0"))
+    rows = rows.withColumn("b1", sums("n_blocks", W.partitionBy("sk", "range").orderBy("h", "id")))
+    return rows.join(ranges, ["sk", "range"]).withColumn("first_block", F.col("b0") + F.col("b1")).drop("b0", "b1", "range"), sources
+
+
+def _find_last(placed: DataFrame, sources: dict[str, Source], block_words: int, seed: int) -> None:
+    """How many draws of the last pass the rest of each source's target needs, and the words of the last of them.
+
+    Words are summed over RANGES ranges of draws; the draws of the range where the rest is reached are then looked at
+    one by one, one range for each source.
+    """
+    spark = placed.sparkSession
+    open_ = {k: s for k, s in sources.items() if s.rest}
+    if not open_:
+        return
+    sent = spark.sparkContext.broadcast((open_, {k: -(-s.blocks // RANGES) for k, s in open_.items()}))
+
+    def draws(batch):
+        """(source, draws of the last pass, words) for the batch's blocks."""
+        col = {n: batch.column(n).to_numpy() for n in ("size", "n_blocks", "first_block")}
+        keys = np.array(batch.column("sk").to_pylist(), dtype=object)
+        for k in set(keys) & set(sent.value[0]):
+            on = keys == k
+            _, _, number, words = _blocks(col["size"][on], col["n_blocks"][on], col["first_block"][on], block_words)
+            s = sent.value[0][k]
+            yield k, permuted(number, s.blocks, _pass_key(seed, k, s.epochs)), words
+
+    def summed(batches):
+        for batch in batches:
+            for k, at, words in draws(batch):
+                total = np.bincount(at // sent.value[1][k], weights=words)
+                held = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(held), pa.string()), pa.array(held, pa.int64()), pa.array(total[held].astype(np.int64))], names=["sk", "range", "words"])
+
+    own = placed.select("sk", "size", "n_blocks", "first_block").where("n_blocks > 0")
+    rest = spark.createDataFrame([(k, s.rest) for k, s in open_.items()], "sk string, rest bigint")
+
+    def reached(rows: DataFrame, start) -> DataFrame:
+        """The row of each source where the running total gets to the rest."""
+        rows = rows.withColumn("upto", F.sum("words").over(W.partitionBy("sk").orderBy("range")) + start)
+        return rows.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+
+    ranges = own.mapInArrow(lean(summed), "sk string, range bigint, words bigint").groupBy("sk", "range").agg(F.sum("words").alias("words"))
+    found = {r.sk: (r["range"], r.upto - r.words) for r in reached(ranges.join(F.broadcast(rest), "sk"), F.lit(0)).collect()}
+    here = spark.sparkContext.broadcast({k: r for k, (r, _) in found.items()})
+
+    def listed(batches):
+        for batch in batches:
+            for k, at, words in draws(batch):
+                on = at // sent.value[1][k] == here.value[k]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * int(on.sum()), pa.string()), pa.array(at[on], pa.int64()), pa.array(words[on], pa.int64())], names=["sk", "range", "words"])
+
+    started = spark.createDataFrame([(k, sources[k].rest, int(n)) for k, (_, n) in found.items()], "sk string, rest bigint, start bigint")
+    one = own.mapInArrow(lean(listed), "sk string, range bigint, words bigint").join(F.broadcast(started), "sk")
+    for r in reached(one, F.col("start")).collect():
+        sources[r.sk].last, sources[r.sk].last_words = r["range"] + 1, r.rest - (r.upto - r.words)
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
     """Every row of ``docs`` with what the mix takes of it.
 
-    Returns id, h (a hash of id and text), size, source_size, target (of the source), taken and ``pieces``: shard,
-    epoch, first block, number of blocks and words of each run of blocks that a shard holds. Texts are read once, for
-    their sizes and hashes, and never shuffled.
+    Returns id, h (a hash of id and text), size, source_size, target (of the source), taken (the words that all shards
+    draw of the row) and ``runs``: for each shard and pass that draws of it the words, the numbers of the blocks, and
+    the block of which only the first ``part_words`` are taken, if there is one. Texts are read once, for their sizes
+    and hashes, and never shuffled.
 
-    Sizes and hashes are computed once and written to the shared folder. Ranks come from counts for each (source, hash
-    range) and a rank within the range, so a source with a third of all rows is spread over RANGES groups. Only the
-    quotas go to the driver and back, one number for each source and shard; the number of shards is held so that they
-    fit MAX_QUOTA_BYTES.
+    Sizes and hashes are computed once and written to the shared folder. Numbers come from counts for each (source,
+    hash range) and a rank within the range, so a source with a third of all rows is spread over RANGES groups. Only
+    one row for each source goes to the driver, and the quotas back, one number for each source and shard.
 
-    Defined cases: a null or empty text has size 0 and no pieces; a null source is one source, the last; rows with the
+    Defined cases: a null or empty text has size 0 and no runs; a null source is one source, the last; rows with the
     same id and text are interchangeable and each keep their row; an empty table gives an empty result; extra columns
     are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), _hash(doc_id, text, seed).alias("h"), F.col(f"`{source}`").cast("string").alias("source"), _key(source).alias("sk"), word_count(F.col(f"`{text}`")).alias("size"))
-    placed, blocks = _placed(cut(rows, "mix-sizes"), weights, block_words)
-    placed = cut(placed, "mix-placed")
-    drawn = {r.sk: (r.e or 0) * blocks[r.sk] + (r.x or 0) for r in placed.groupBy("sk").agg(F.max("epochs").alias("e"), F.sum("extra_blocks").alias("x")).collect()}
-    total = placed.agg(F.sum(F.col("epochs") * F.col("size") + F.least("size", F.col("extra_blocks") * block_words)).alias("n")).first().n or 0
-    keys = sorted(drawn)
+    placed, sources = _placed(cut(rows, "mix-sizes"), weights, block_words)
+    placed = cut(placed.select("id", "h", "sk", "size", "n_blocks", "first_block"), "mix-placed")
+    _find_last(placed, sources, block_words, seed)
+    keys = sorted(sources)
+    total = sum(s.epochs * s.size + s.rest for s in sources.values())
     shards = max(1, min(-(-int(total) // shard_words), MAX_QUOTA_BYTES // (8 * max(1, len(keys)))))
-    ends = np.cumsum(split_quotas([drawn[k] for k in keys], shards, seed), axis=0)
-    sent = spark.sparkContext.broadcast({k: ends[:, i] for i, k in enumerate(keys)})
+    ends = np.cumsum(split_quotas([sources[k].draws for k in keys], shards, seed), axis=0)
+    sent = spark.sparkContext.broadcast({k: (sources[k], ends[:, i]) for i, k in enumerate(keys)})
 
     def run(batches):
         for batch in batches:
-            col = {n: batch.column(n).to_pylist() for n in ("sk", "size", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")}
-            pieces = [_pieces(sent.value[k], *rest, block_words) for k, *rest in zip(*col.values())]
-            out = [batch.column(n) for n in ("id", "h", "size", "source_size", "target")] + [pa.array(pieces, type=pa.list_(_PIECE))]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "h", "size", "source_size", "target", "pieces"])
+            yield _with_runs(batch, sent.value, block_words, seed)
 
     kind = placed.schema["id"].dataType.simpleString()
-    cols = placed.select("id", "h", "size", "source_size", "target", "sk", "n_blocks", "source_blocks", "epochs", "extra_blocks", "first_block")
-    out = cols.mapInArrow(lean(run), f"id {kind}, h bigint, size bigint, source_size bigint, target double, pieces {PIECES}")
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return out.select("id", "h", "size", "source_size", "target", taken.alias("taken"), "pieces")
-
-
-def _pieces(ends: np.ndarray, size: int, n_blocks: int, source_blocks: int, epochs: int, extra: int, first: int, block_words: int) -> list[dict]:
-    """A document's draws, cut where shards end. Draw number: whole passes before, times the source's blocks, plus its place."""
-    out = []
-    for epoch in range(epochs + 1):
-        lo, n = epoch * source_blocks + first, n_blocks if epoch < epochs else extra
-        at = 0
-        while at < n:
-            shard = int(np.searchsorted(ends, lo + at, side="right"))
-            k = int(min(n - at, ends[shard] - lo - at))
-            words = min(size, (at + k) * block_words) - at * block_words
-            out.append({"shard": shard, "epoch": epoch, "block": at, "blocks": k, "words": words})
-            at += k
-    return out
+    out = placed.mapInArrow(lean(run), f"id {kind}, h bigint, size bigint, source_size bigint, target double, runs {RUNS}")
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["words"])
+    return out.select("id", "h", "size", "source_size", "target", taken.alias("taken"), "runs")
+
+
+def _with_runs(batch: pa.RecordBatch, sources: dict[str, tuple[Source, np.ndarray]], block_words: int, seed: int) -> pa.RecordBatch:
+    """The rows of a batch with the runs of blocks that the shards draw of each."""
+    names = ("size", "n_blocks", "first_block")
+    col = {n: batch.column(n).to_numpy() for n in names}
+    keys = np.array(batch.column("sk").to_pylist(), dtype=object)
+    drawn: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for k in sorted(set(keys)):
+        s, ends = sources[k]
+        on = np.flatnonzero(keys == k)
+        row, at, number, words = _blocks(*(col[n][on] for n in names), block_words)
+        for epoch in range(s.epochs + (s.last > 0)):
+            place = permuted(number, s.blocks, _pass_key(seed, k, epoch))
+            use = place < (s.last if epoch == s.epochs else s.blocks)
+            cut_off = (place[use] == s.last - 1) if epoch == s.epochs else np.zeros(int(use.sum()), dtype=bool)
+            got = np.where(cut_off, s.last_words, words[use])
+            for held, x in zip(drawn, (on[row[use]], np.full(len(got), epoch), np.searchsorted(ends, epoch * s.blocks + place[use], side="right"), at[use], got, cut_off & (got < words[use]))):
+                held.append(x)
+    row, epoch, shard, at, words, partial = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in drawn)
+    order = np.lexsort((at, shard, epoch, row))
+    row, epoch, shard, at, words, partial = (x[order] for x in (row, epoch, shard, at, words, partial))
+    new = np.flatnonzero(np.any([np.diff(x, prepend=-1) != 0 for x in (row, epoch, shard)], axis=0)) if len(row) else np.zeros(0, dtype=np.int64)
+    part, part_words = np.full(len(new), -1), np.zeros(len(new), dtype=np.int64)
+    in_run = np.searchsorted(new, np.flatnonzero(partial), side="right") - 1
+    part[in_run], part_words[in_run] = at[partial.astype(bool)], words[partial.astype(bool)]
+    blocks = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(at.astype(np.int64)))
+    runs = pa.StructArray.from_arrays(
+        [pa.array(shard[new].astype(np.int32)), pa.array(epoch[new].astype(np.int32)), pa.array(np.add.reduceat(words, new).astype(np.int64) if len(new) else np.zeros(0, dtype=np.int64)), blocks, pa.array(part.astype(np.int64)), pa.array(part_words)],
+        names=["shard", "epoch", "words", "blocks", "part", "part_words"],
+    )
+    upto = np.searchsorted(row[new], np.arange(len(batch) + 1)).astype(np.int32)
+    out = [batch.column(n) for n in ("id", "h", "size")]
+    out += [pa.array([sources[k][0].size for k in keys], pa.int64()), pa.array([sources[k][0].target for k in keys], pa.float64()), pa.ListArray.from_arrays(pa.array(upto), runs)]
+    return pa.RecordBatch.from_arrays(out, names=["id", "h", "size", "source_size", "target", "runs"])
+
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-def _leading(texts: pd.Series, words: pd.Series) -> pd.Series:
-    """Each text up to the end of its word number ``words``."""
-    def end(text: str | None, n: int) -> int:
-        spans = (m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
-        return next(itertools.islice(spans, n - 1, None), len(text or "")) if n > 0 else 0
 
-    return pd.Series([t[: end(t, n)] if t else t for t, n in zip(texts, words)])
+def taken_text(text: str, blocks: list[int], part: int, part_words: int, block_words: int) -> str:
+    """The text of some blocks, in their order. What is taken of a block goes on to the next word, taken or not."""
+    starts, end = {}, len(text)
+    for i, m in enumerate(_WORD.finditer(text)):
+        if i % block_words == 0:
+            starts[i // block_words] = m.start()
+        if part >= 0 and i == part * block_words + part_words:
+            end = m.start()
+    starts[0] = 0
+    return "".join(text[starts[b] : end if b == part else starts.get(b + 1, len(text))] for b in sorted(blocks))
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 7) -> DataFrame:
-    """The mix's documents, in the columns of ``docs``: a row for each epoch in which :func:`mix` takes of a document.
+def mixed_documents(docs: DataFrame, mixed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 7, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix's documents, in the columns of ``docs``: a row for each shard and pass that draws of a document.
 
-    A document that one epoch takes whole keeps its text as it is; of the one at the end of a source's share, the words
-    of the taken blocks, which are its first, remain. Where a shard ends within a document, the document goes to the
-    shard that holds its first block. Rows come out by shard, and within a shard by a hash. Texts are shuffled twice:
-    to meet their draws, and into the shards' order.
+    A document whose blocks all go to one shard in a pass keeps its text as it is; else a row has the text of the
+    shard's blocks. Rows come out by shard, and within a shard by a hash, so written files hold the shards one after
+    the other, each with its exact quota of every source. Texts are shuffled twice: to meet their draws, and into the
+    shards' order. A document that many rows repeat is met by the draws of all of them, one by one.
+
+    Defined cases are those of :func:`mix`; a document of which nothing is taken has no row.
     """
-    runs = F.expr("transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct('epoch', e, 'shard', array_min(transform(filter(pieces, p -> p.epoch = e), p -> p.shard)), 'words', aggregate(filter(pieces, p -> p.epoch = e), 0L, (n, p) -> n + p.words)))")
-    taken = mixed.where(F.size("pieces") > 0).select(_key("id").alias("__key"), F.col("h").alias("__h"), "size", runs.alias("runs"))
-    # Repeated rows share a key; their draws are put together and met by one of them.
-    drawn = taken.groupBy("__key", "__h").agg(F.max("size").alias("__size"), F.flatten(F.collect_list("runs")).alias("__runs"), F.count("*").alias("n"))
-    drawn = cut(drawn, "mix-drawn")
+    runs = mixed.select(_key("id").alias("__key"), F.col("h").alias("__h"), "size", F.explode("runs").alias("run"))
     rows = docs.select(F.struct("*").alias("row"), _key(doc_id).alias("__key"), _hash(doc_id, text, seed).alias("__h"))
-    met = rows.join(drawn.drop("n"), ["__key", "__h"])
-    if not drawn.where("n > 1").isEmpty():
-        met = met.dropDuplicates(["__key", "__h"])
-    met = met.select("row", F.col("__h").alias("h"), F.col("__size").alias("size"), F.explode("__runs").alias("run"))
-    head = F.pandas_udf(_leading, "string")
+    if not mixed.groupBy(_key("id"), "h").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__key", "__h"])
+    met = rows.join(runs, ["__key", "__h"])
+
+    def some(texts: pd.Series, run: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if t is None else taken_text(t, *r, block_words) for t, r in zip(texts, run[["blocks", "part", "part_words"]].itertuples(index=False))], dtype=object)
+
     whole = F.col(f"row.`{text}`")
-    cut_text = F.when(F.col("run.words") >= F.col("size"), whole).otherwise(head(F.when(F.col("run.words") < F.col("size"), whole), F.col("run.words")))
-    place = F.xxhash64(F.lit(seed + 1), "h", "run.epoch")
+    in_part = F.col("run.words") < F.col("size")
+    cut_text = F.when(in_part, F.pandas_udf(some, "string")(F.when(in_part, whole), "run")).otherwise(whole)
+    place = F.xxhash64(F.lit(seed + 1), "__h", "run.epoch", "run.shard")
     placed = met.select(cut_text.alias("text"), "row", F.col("run.shard").alias("shard"), place.alias("place"))
     ordered = placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
     return ordered.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
