@@ -1,9 +1,10 @@
 """Token ids as ORC: integer run-length encoding, row indexes and Bloom filters on the document id.
 
-A written set of shards is a folder of ORC files in ascending document order, one row for each document:
+A written set of shards is a folder of ORC files, one row for each document, in ascending order of the id or in an
+order that is given:
 
     doc_id     the document's id; has the Bloom filter, and min and max in each stripe and row group
-    shard      number of the range partition that holds the row; shards ascend with doc_id
+    shard      number of the range partition that holds the row; shards ascend with the order
     position   number of the row in its shard
     offset     ids in the shard before this row
     n_tokens   ids in this row
@@ -20,24 +21,27 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ndgrid.llm.tokenize import encoder
 from ndgrid.runtime import lean, ship
 
-#: Text bytes aimed at in one shard; only the number of shards depends on it.
+#: Text bytes aimed at in one shard, and the most shards there are: beyond it each is larger. Only the number of shards
+#: depends on these. It bounds the shuffle's partitions, the files, and the table of the shards' starts.
 SHARD_TEXT_BYTES = 24 << 20
+MAX_SHARDS = 20_000
 #: Options of the ORC writer.
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 ROW = "shard int, position bigint, offset bigint, n_tokens bigint, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, shard_bytes: int = SHARD_TEXT_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, shard_bytes: int = SHARD_TEXT_BYTES, order: list[Column] | None = None) -> None:
     """Encode every whole text, append ``end_id`` and write the shards under ``path``.
 
-    One range shuffle puts the rows in order; its bounds are ids and hashes, so the driver never samples texts.
+    Rows stand in ascending order of their id, or by the columns ``order`` and then their id. One range shuffle puts
+    them there; its bounds are ids, hashes and ``order``, so the driver never samples texts.
     Encoding and writing then happen in the same task, so ids are never shuffled. The tokenizer's file is read on the
     driver and broadcast (a vocabulary, of fixed size).
 
@@ -50,9 +54,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     key = f"{tokenizer_path}:{end_id}"
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    before = [f"o{i}" for i in range(len(order or []))]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *[c.alias(n) for c, n in zip(order or [], before)])
     size = rows.select(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = min(MAX_SHARDS, max(1, -(-size // shard_bytes)))
 
     def run(batches):
         from pyspark import TaskContext
@@ -70,14 +75,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, doc_id: str
                 position, offset = position + rows, int(after[-1])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    place = F.xxhash64("text")
-    ordered = rows.repartitionByRange(int(shards), F.col("doc_id"), place).sortWithinPartitions(F.col("doc_id"), place, F.col("text"))
+    place = [*map(F.col, before), F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(int(shards), *place).sortWithinPartitions(*place, F.col("text")).select("doc_id", "text")
     out = ordered.mapInArrow(lean(run), f"doc_id {kind}, {ROW}")
     out.write.options(**ORC_OPTIONS).orc(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(shard, ids of all shards before it): one for each file, as a file listing has, from the n_tokens column alone."""
+    """(shard, ids of all shards before it), from the n_tokens column alone: MAX_SHARDS rows at most."""
     totals = sorted((r.shard, r.n) for r in spark.read.orc(path).groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     starts, n = [], 0
     for shard, k in totals:
@@ -86,18 +91,13 @@ def shard_starts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     return starts
 
 
-#: Shards whose starts may be broadcast, 12 bytes each; more are joined by a shuffle.
-MAX_BROADCAST_SHARDS = 500_000
-
-
 def with_starts(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of ``path`` that have shard and offset, with ``start``: the ids of all documents before each."""
-    starts = shard_starts(rows.sparkSession, path)
-    if len(starts) <= MAX_BROADCAST_SHARDS:
-        table = F.broadcast(rows.sparkSession.createDataFrame(starts, "shard int, start bigint"))
-    else:
-        table = rows.sparkSession.createDataFrame(starts, "shard int, start bigint")
-    return rows.join(table, "shard").withColumn("start", F.col("start") + F.col("offset"))
+    """Rows of ``path`` that have shard and offset, with ``start``: the ids of all documents before each.
+
+    The starts are broadcast, 12 bytes for each of MAX_SHARDS shards at most.
+    """
+    starts = rows.sparkSession.createDataFrame(shard_starts(rows.sparkSession, path), "shard int, start bigint")
+    return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("start") + F.col("offset"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
