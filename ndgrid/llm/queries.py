@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ndgrid.llm import bitsliced, decontaminate, langid, licenses, mixing, quality, secrets, simhash, token_counts, token_orc
-from ndgrid.runtime import shared_path
+from ndgrid.runtime import cut, shared_path
 
 
 def tokenizer_path() -> str:
@@ -50,7 +50,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    drawn = F.transform("runs", lambda r: F.concat_ws(":", r["shard"].cast("string"), r["epoch"].cast("string"), r["words"].cast("string")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join(drawn, ",").alias("shards"))
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +71,22 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of all documents, come to through inserts, revisions, deletes and a batch that is sent again.
+
+    Batch 1 inserts the documents outside of fold 3: those of fold 1 filed under no source and language and with one
+    token too many, all others as they are. Batch 2 inserts fold 3, revises fold 1 to what it is, and deletes fold 2.
+    It comes twice. Batch 3 inserts fold 2 anew. Folds are of the id's crc32.
+    """
     root = shared_path(spark, "token-counts")
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id", "source", "lang"])
-    rows = counted.select(F.col("row.doc_id").alias("doc"), "row.source", "row.lang", "tokens")
-    token_counts.commit(rows, root, "1", version="word_bpe_49k")
+    rows = cut(counted.select(F.col("row.doc_id").alias("doc"), "row.source", "row.lang", "tokens", F.coalesce(langid.fold("row.doc_id"), F.lit(0)).alias("fold")), "counted")
+    draft = F.col("fold") == 1
+    blank = lambda c: F.when(~draft, F.col(c)).alias(c)
+    first = rows.where("fold <> 3").select("doc", blank("source"), blank("lang"), (F.col("tokens") + draft.cast("int")).alias("tokens"))
+    token_counts.commit(first, root, "1", version="word_bpe_49k")
+    for _ in range(2):
+        token_counts.commit(rows.where("fold in (1, 3)"), root, "2", version="word_bpe_49k", deleted=rows.where("fold = 2").select("doc"))
+    token_counts.commit(rows.where("fold = 2"), root, "3", version="word_bpe_49k")
     return token_counts.totals(spark, root)
 
 
@@ -115,4 +128,17 @@ its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
-ORACLE_SQL = {"op4_bitsliced_topk": _OP4, "op5_decontamination": _OP5}
+#: A kind's matches and the gaps between them alternate, so their lengths add up to the offsets.
+_OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT r, 0 AS o, 'assign' AS kind, 12 AS least, string_split_regex(t, '{assign}') AS gaps, regexp_extract_all(t, '{assign}', 0) AS m, regexp_extract_all(t, '{assign}', 2) AS g FROM d
+  UNION ALL SELECT r, 1, 'access', 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT r, 2, 'hex', 16, string_split_regex(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}') FROM d),
+p AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT r, o, kind, CAST(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM p WHERE length(g[i]) >= least),
+j AS (SELECT r, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans, count(*) FILTER (o = 0) AS x, count(*) FILTER (o = 1) AS y, count(*) FILTER (o = 2) AS z FROM s GROUP BY r)
+SELECT doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_assign, CAST(coalesce(y, 0) AS BIGINT) AS n_access, CAST(coalesce(z, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (r)""".replace("{assign}", secrets.RULES[0].pattern.replace("'", "''"))
+
+ORACLE_SQL = {"op4_bitsliced_topk": _OP4, "op5_decontamination": _OP5, "op7_secret_ledger": _OP7}
