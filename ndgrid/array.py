@@ -7,24 +7,29 @@ import math
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ndgrid.functions import filters
 from ndgrid.operators import cells as ops
 from ndgrid.plans.coalesce import READ_FUSED_BYTES
-from ndgrid.plans.meta import ArrayMeta, drop_plan, from_metadata, open_meta
-from ndgrid.plans.reads import ReadPlanner, unit_box
+from ndgrid.plans.meta import ArrayMeta, clear_plan_cache, from_metadata, open_meta
+from ndgrid.plans.reads import locate, unit_box
 from ndgrid.plans.selection import hull, int_axes, normalize, orthogonal
+from ndgrid.plans.store import open_store
+from ndgrid.runtime import BATCH_ROWS, described
 from ndgrid.sources import datasource
 
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """Choices of one read; none is stored with the array."""
+    """Choices of one read; none is stored with the array. ``max_workers`` is the most partitions it is dealt to."""
 
     max_fused_bytes: int = READ_FUSED_BYTES
     max_gap_bytes: int = 0
     partition_bytes: int | None = None
+    max_workers: int | None = None
 
 
 def _spark(spark: SparkSession | None) -> SparkSession:
@@ -97,13 +102,11 @@ class Array:
 
     def retrieve_encoded_chunk(self, coords: tuple[int, ...]) -> bytes | None:
         """A unit's stored bytes; None if it is not stored."""
-        from ndgrid.plans.reads import read_bytes
-
-        for r in ReadPlanner(self.plan).requests(unit_box(self.plan, coords)):
-            for found, at, n in r.members:
-                if found == tuple(coords):
-                    return read_bytes(r.path, r.offset + at, n)
-        return None
+        unit_box(self.plan, coords)
+        file = tuple(c // n for c, n in zip(coords, self.plan.units_per_file))
+        store = open_store(self.plan.root, read_only=True)
+        found = locate(self.plan, store, file, np.array([coords], dtype=np.int64).reshape(1, self.ndim), whole_up_to=0)
+        return store.read(self.plan.chunk_key(file), int(found.offset[0]), int(found.length[0])) if found.stored[0] else None
 
     def to_numpy(self, sel=..., *, out: np.ndarray | None = None) -> np.ndarray:
         """The selection as a dense array on the driver. ``out`` must have its shape and dtype, and is returned."""
@@ -116,14 +119,18 @@ def _dense(cells: DataFrame, shape: tuple[int, ...], dtype: np.dtype, out: np.nd
         raise ValueError(f"out is {out.shape} {out.dtype}; the selection is {shape} {dtype}")
     a = np.zeros(shape, dtype=dtype) if out is None else out
     if math.prod(shape):
-        got = cells.toPandas()
-        a[tuple(got[f"c{i}"].to_numpy() for i in range(len(shape)))] = got["v"].to_numpy().astype(dtype)
+        with described(cells.sparkSession, f"read {shape} {dtype}"):
+            got = cells.toPandas()
+        values = got["v"].to_numpy().astype(dtype)
+        a[tuple(got[f"c{i}"].to_numpy() for i in range(len(shape)))] = values if shape else values[0]
     return a
 
 
-def read_array(root: str | None, sel=..., *, plan: ArrayMeta | None = None, options: ReadOptions | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Open and read in one call; ``root`` does not count if there is a plan."""
-    return Array(plan if plan is not None else open_meta(root), spark).retrieve_array_subset(sel, options)
+def read_array(root: str | None, sel=..., *, plan: ArrayMeta | None = None, options: ReadOptions | None = None, out: np.ndarray | None = None, spark: SparkSession | None = None) -> DataFrame | np.ndarray:
+    """Open and read in one call; ``root`` does not count if there is a plan. With ``out`` the cells go there instead."""
+    array = Array(plan if plan is not None else open_meta(root), spark)
+    cells = array.retrieve_array_subset(sel, options)
+    return cells if out is None else _dense(cells, tuple(hi - lo for lo, hi in normalize(sel, array.shape)), array.dtype, out)
 
 
 class AsyncArray:
@@ -187,22 +194,17 @@ class GridArray(Array):
 
     def write(self, sel, values) -> None:
         """Overwrite a basic selection with cells (a DataFrame with coordinates from its origin), an array or a scalar."""
-        from pyspark.sql import functions as F
-
         bounds = normalize(sel, self.shape)
         spark, names = _spark(self._session), ops.axes(self.ndim)
-        drop_plan(self.plan.root)
         if isinstance(values, DataFrame):
             patch = values.select(*[(F.col(c) + lo).cast("bigint").alias(c) for c, (lo, _) in zip(names, bounds)], "v")
         else:
             shape = tuple(hi - lo for lo, hi in bounds)
             a = np.broadcast_to(np.asarray(values, dtype=self.dtype), shape)
-            wide = a.astype("float64" if a.dtype.kind == "f" else "int64") if a.dtype.kind in "fiu" else a
             at = [x.ravel() + lo for x, (lo, _) in zip(np.indices(shape), bounds)]
-            import pandas as pd
-
-            patch = spark.createDataFrame(pd.DataFrame({**dict(zip(names, at)), "v": wide.ravel()}))
-        datasource.write_region(patch, self.plan.root)
+            patch = spark.createDataFrame(pa.table([*map(pa.array, at), datasource._column(np.ascontiguousarray(a).ravel())], names=[*names, "v"]))
+        datasource.write_region(patch, self.plan.root, bounds)
+        clear_plan_cache()
 
     def __setitem__(self, sel, values) -> None:
         self.write(sel, values)
@@ -252,16 +254,16 @@ def configure(spark: SparkSession, *, batch_rows: int | None = None, shuffle_par
     """Register the format and set the session's options at once; ``with configure(...):`` takes them back at the end."""
     wanted = {"spark.sql.python.filterPushdown.enabled": "true"}
     if batch_rows is not None:
-        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+        wanted[BATCH_ROWS] = str(batch_rows)
     if shuffle_partitions is not None:
         wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     before = {k: spark.conf.get(k, None) for k in wanted}
     token = Configuration(spark, before, filters.get_overrides())
     for name, choice in (backend_overrides or {}).items():
         filters.resolve(name, choice)
-    datasource.register(spark)
     for k, v in wanted.items():
         spark.conf.set(k, v)
+    datasource.register(spark)
     if backend_overrides is not None:
         filters.set_overrides(backend_overrides)
     return token

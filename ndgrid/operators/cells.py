@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ndgrid.plans.selection import Bounds, Points, Stepped
@@ -33,12 +34,30 @@ def box(cells: DataFrame, bounds: Bounds, *, shift: bool = True, drop: tuple[int
     return cells.select(*cols, "v")
 
 
-def take(cells: DataFrame, selection: tuple[Stepped | Points, ...], *, drop: tuple[int, ...] = ()) -> DataFrame:
-    """Orthogonal selection: steps become a remainder, masks and lists a join with (old, new) positions."""
+def numbered(positions: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(old) distinct positions -> (old, new): their place in ascending order, from 0.
+
+    Positions are counted for each ``block`` of them; a window over those counts and one within each block do the rest,
+    so no task sees all positions.
+    """
+    rows = positions.select(F.col("old").cast("bigint").alias("old"), F.expr(f"old div {block}").alias("b"))
+    before = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("b").count().select("b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(W.partitionBy("b").orderBy("old")) - 1
+    return rows.withColumn("place", place).join(starts, "b").select("old", (F.col("start") + F.col("place")).cast("bigint").alias("new"))
+
+
+def take(cells: DataFrame, selection: tuple[Stepped | Points | DataFrame, ...], *, drop: tuple[int, ...] = ()) -> DataFrame:
+    """Orthogonal selection: steps become a remainder, masks and lists a join with (old, new) positions.
+
+    Positions that are in a table already, such as those of a mask, may be given as a DataFrame (old, new).
+    """
     spark = cells.sparkSession
     for i, a in enumerate(selection):
         c = F.col(f"c{i}")
-        if isinstance(a, Stepped):
+        if isinstance(a, DataFrame):
+            cells = cells.join(a, cells[f"c{i}"] == a["old"]).withColumn(f"c{i}", F.col("new")).drop("old", "new")
+        elif isinstance(a, Stepped):
             cells = cells.where((c >= a.start) & (c < a.stop))
             if a.step > 1:
                 cells = cells.where((c - a.start) % a.step == 0)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
-import os
-import threading
-from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from ndgrid.plans.store import open_store
+
 #: Plans that are held; the least recently used go first.
 PLAN_CACHE_SIZE = 32
 #: Marks an absent unit in a shard's index: fixed value of the format.
@@ -100,9 +100,6 @@ class ArrayMeta:
         """Place of a chunk file below the root."""
         return self.separator.join([*([self.prefix] if self.prefix else []), *map(str, coords)]) or "0"
 
-    def chunk_path(self, coords: tuple[int, ...]) -> str:
-        return f"{self.root}/{self.chunk_key(coords)}"
-
 
 def from_metadata(metadata: dict, root: str) -> ArrayMeta:
     """Check a parsed document. No file is touched."""
@@ -144,52 +141,26 @@ def from_metadata(metadata: dict, root: str) -> ArrayMeta:
     )
 
 
-_plans: OrderedDict[str, tuple[tuple, ArrayMeta]] = OrderedDict()
-_lock = threading.Lock()
-
-
-def local_path(path: str) -> str:
-    """A path as ``open`` takes it."""
-    return path.removeprefix("file://") if path.startswith("file://") else path
-
-
-def _signature(path: str) -> tuple:
-    s = os.stat(path)
-    return s.st_ino, s.st_mtime_ns, s.st_size
+@functools.lru_cache(maxsize=PLAN_CACHE_SIZE)
+def _parsed(root: str, signature: tuple) -> ArrayMeta:
+    return from_metadata(json.loads(open_store(root).get("zarr.json")), root)
 
 
 def open_meta(root: str, *, cached: bool = True) -> ArrayMeta:
-    """Read ``root``/zarr.json once; a cached plan is used again while the file's inode, time and size are the same."""
+    """The metadata of ``root``. With ``cached`` it is parsed anew only if the file's size, time or inode has changed."""
     root = str(root).rstrip("/")
-    path = f"{local_path(root)}/zarr.json"
-    sign = _signature(path)
-    with _lock:
-        if cached and (hit := _plans.get(root)) and hit[0] == sign:
-            _plans.move_to_end(root)
-            return hit[1]
-    with open(path, encoding="utf-8") as f:
-        meta = from_metadata(json.load(f), root)
-    if cached:
-        with _lock:
-            _plans[root] = (sign, meta)
-            _plans.move_to_end(root)
-            while len(_plans) > PLAN_CACHE_SIZE:
-                _plans.popitem(last=False)
-    return meta
+    signature = open_store(root).signature("zarr.json")
+    if signature is None:
+        raise FileNotFoundError(f"{root}/zarr.json")
+    return _parsed(root, signature) if cached else _parsed.__wrapped__(root, signature)
 
 
 def clear_plan_cache() -> None:
-    with _lock:
-        _plans.clear()
-
-
-def drop_plan(root: str) -> None:
-    with _lock:
-        _plans.pop(str(root).rstrip("/"), None)
+    _parsed.cache_clear()
 
 
 def plan_cache_len() -> int:
-    return len(_plans)
+    return _parsed.cache_info().currsize
 
 
 def make_metadata(*, shape, dtype, chunks, codecs=(), shards=None, fill_value=0, attributes=None, key_encoding: str = "default", index_location: str = "end", index_crc: bool = True) -> dict:

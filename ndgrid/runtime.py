@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import hashlib
 import io
@@ -74,6 +75,18 @@ def lean(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]
     return run
 
 
+@contextlib.contextmanager
+def described(spark: SparkSession, text: str) -> Iterator[None]:
+    """Jobs that start inside carry ``text`` in Spark's UI and event log; the description before comes back."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(text)
+    try:
+        yield
+    finally:
+        context.setJobDescription(before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the context's checkpoint folder.
 

@@ -1,17 +1,16 @@
 """Arrays on disk as a Spark data source: ``spark.read.format("ndgrid")`` and ``df.write.format("ndgrid")``.
 
 Reading. ``view=cells`` gives c0 .. c{n-1}, v; ``view=chunks`` gives g0 .. g{n-1}, payload, raw_nbytes (stored units
-only). Comparisons on coordinates are pushed down: they become a box, the box becomes units, units become fused byte
-ranges, and each range is a partition. Spark still applies every filter, so pushdown off gives the same rows.
+only). Comparisons on coordinates are pushed down: they become a box, and runs of the box's files become partitions.
+Only there, in the tasks, are files looked for, shard indexes read, byte ranges fused, and units that no file holds made
+up from the fill value (``fill=true``). Spark still applies every filter, so pushdown off gives the same rows.
 
-Writing takes the chunk view. A file's units must come together, which :func:`write_cells` sees to.
+Writing takes the chunk view. A file's units must come together, which :func:`write_chunks` sees to.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,11 @@ from ndgrid.functions.checksums import crc32c
 from ndgrid.functions.codecs import Chain
 from ndgrid.operators import cells as ops
 from ndgrid.plans.coalesce import READ_FUSED_BYTES
-from ndgrid.plans.meta import ABSENT, ArrayMeta, drop_plan, from_metadata, local_path, make_metadata, open_meta
-from ndgrid.plans.reads import ReadPlanner, ReadRequest, overlap, read_bytes, selected_units
+from ndgrid.plans.meta import ABSENT, ArrayMeta, clear_plan_cache, from_metadata, make_metadata, open_meta
+from ndgrid.plans.reads import MAX_RUNS, BoxPlan, Run, cells_to_grid, clip, grid_to_cells, locate
 from ndgrid.plans.selection import Bounds
-from ndgrid.runtime import ship
+from ndgrid.plans.store import open_store
+from ndgrid.runtime import cut, ship
 
 #: The narrowest Spark type that holds every value of a dtype.
 SPARK_TYPES = {
@@ -38,8 +38,8 @@ SPARK_TYPES = {
 }
 _ARROW = {"uint8": pa.int16(), "uint16": pa.int32(), "uint32": pa.int64(), "uint64": pa.decimal128(20, 0), "float16": pa.float32()}
 
-#: Stored bytes that one partition reads: small chunk files share a task.
-PARTITION_BYTES = 32 << 20
+#: Bytes of cells that one partition reads: small chunk files share a task, large ones are dealt to several.
+PARTITION_BYTES = 64 << 20
 #: Cells of a record batch.
 BATCH_CELLS = 1 << 18
 
@@ -60,9 +60,9 @@ def _column(a: np.ndarray) -> pa.Array:
 
 
 class Part(InputPartition):
-    def __init__(self, requests: list[ReadRequest]):
+    def __init__(self, run: Run | None):
         super().__init__(None)
-        self.requests = requests
+        self.run = run
 
 
 class GridDataSource(DataSource):
@@ -94,20 +94,25 @@ class GridReader(DataSourceReader):
         self.max_fused = int(options.get("max_fused_bytes", READ_FUSED_BYTES))
         self.max_gap = int(options.get("max_gap_bytes", 0))
         self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.most = int(options.get("max_workers", MAX_RUNS))
+        self.fill = str(options.get("fill", "false")).lower() == "true" and not self.chunks
         self.limits = [[0, n] for n in (meta.grid_shape if self.chunks else meta.shape)]
+        self.values = [-np.inf, np.inf]  # what a value must lie between, ends included
 
     @property
     def bounds(self) -> Bounds:
         lim = [(lo, max(lo, hi)) for lo, hi in self.limits]
         if not self.chunks:
             return tuple(lim)
-        return tuple((lo * k, min(hi * k, n)) for (lo, hi), k, n in zip(lim, self.meta.unit_shape, self.meta.shape))
+        return grid_to_cells(tuple(lim), self.meta.unit_shape, self.meta.shape)
 
     def pushFilters(self, filters):
         for f in filters:
             name = getattr(f, "attribute", ("",))[0]
             if len(name) > 1 and name[0] == ("g" if self.chunks else "c") and name[1:].isdigit() and int(name[1:]) < self.meta.ndim:
                 self._narrow(self.limits[int(name[1:])], f)
+            elif name == "v" and not self.chunks:
+                self._narrow_values(f)
             yield f  # Spark applies it as well: it clips units to the box
 
     @staticmethod
@@ -132,42 +137,70 @@ class GridReader(DataSourceReader):
             return
         limit[0], limit[1] = max(limit[0], lo), min(limit[1], hi)
 
+    def _narrow_values(self, f) -> None:
+        """Zone maps hold least and greatest values, so a strict limit is as good as one that is not."""
+        value = getattr(f, "value", None)
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.values[0] = max(self.values[0], value)
+            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.values[1] = min(self.values[1], value)
+
+    def _in_zone(self, store, file: tuple[int, ...], units: np.ndarray) -> np.ndarray:
+        """The units that may hold a wanted value: all, unless the file has a zone map that says otherwise."""
+        if self.values == [-np.inf, np.inf] or not len(units):
+            return units
+        zones = read_zones(store, self.meta.chunk_key(file))
+        keep = [z is None or (z[0] <= self.values[1] and z[1] >= self.values[0]) for z in (zones.get(",".join(map(str, u))) for u in units.tolist())]
+        return units[np.array(keep, dtype=bool)]
+
     def partitions(self) -> list[InputPartition]:
-        requests = ReadPlanner(self.meta).requests(self.bounds, max_fused_bytes=self.max_fused, max_gap_bytes=self.max_gap)
-        parts: list[list[ReadRequest]] = []
-        size = self.partition_bytes + 1
-        for r in requests:
-            if size + r.nbytes > self.partition_bytes:
-                parts.append([])
-                size = 0
-            parts[-1].append(r)
-            size += r.nbytes
-        return [Part(p) for p in parts] or [Part([])]
+        runs = BoxPlan(self.meta, self.bounds).runs(self.partition_bytes, self.most)
+        return [Part(r) for r in runs] or [Part(None)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        if (run := partition.run) is None:
+            return
+        plan, store = BoxPlan(self.meta, self.bounds), open_store(self.meta.root, read_only=True)
         chain = Chain(self.meta.codecs, self.meta.dtype, self.meta.unit_shape)
-        for r in partition.requests:
-            window = memoryview(read_bytes(r.path, r.offset, r.nbytes))
-            for coords, at, n in r.members:
-                payload = bytes(window[at : at + n])
+        for number in range(run.first, run.stop):
+            file = plan.file(number)
+            units = self._in_zone(store, file, plan.units(file, run.part, run.parts))
+            if not len(units):
+                continue
+            found = locate(self.meta, store, file, units, whole_up_to=self.max_fused)
+            for lo, hi, members in found.windows(max_fused_bytes=self.max_fused, max_gap_bytes=self.max_gap):
+                window = memoryview(found.data)[lo:hi] if found.data is not None else memoryview(store.read(self.meta.chunk_key(file), lo, hi - lo))
+                payloads = [bytes(window[at : at + n]) for _, at, n in members]
+                units = [tuple(found.units[i].tolist()) for i, _, _ in members]
                 if self.chunks:
-                    cols = [pa.array([c], pa.int64()) for c in coords]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([payload], pa.binary()), pa.array([self.meta.unit_nbytes], pa.int64())], names=[*(f"g{i}" for i in range(self.meta.ndim)), "payload", "raw_nbytes"])
+                    yield self._encoded(units, payloads)
                 else:
-                    yield from self._cells(coords, chain.decode(payload, f"{r.path} {coords}"))
-
-    def _cells(self, coords: tuple[int, ...], values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        src, dst = overlap(self.meta, coords, self.bounds)
-        part = values[src]
-        if not part.size:
-            return
-        flat = np.ascontiguousarray(part).ravel()
-        origin = [lo + d.start for (lo, _), d in zip(self.bounds, dst)]
+                    for unit, values in zip(units, chain.decode_batch(payloads, [f"{self.meta.root} {u}" for u in units])):
+                        yield from self._cells(unit, values)
+            if self.fill:
+                for unit in found.units[~found.stored].tolist():
+                    yield from self._cells(tuple(unit), None)
+
+    def _encoded(self, units: list[tuple[int, ...]], payloads: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array([u[i] for u in units], pa.int64()) for i in range(self.meta.ndim)]
+        raw = pa.array([self.meta.unit_nbytes] * len(units), pa.int64())
+        return pa.RecordBatch.from_arrays([*cols, pa.array(payloads, pa.binary()), raw], names=[*(f"g{i}" for i in range(self.meta.ndim)), "payload", "raw_nbytes"])
+
+    def _cells(self, unit: tuple[int, ...], values: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """The box's cells of a unit, fill without values."""
+        box = clip(self.meta, unit, self.bounds)
+        shape = tuple(hi - lo for lo, hi in box)
+        if values is not None:
+            inside = values[tuple(slice(lo - c * k, hi - c * k) for (lo, hi), c, k in zip(box, unit, self.meta.unit_shape))]
+            flat = np.ascontiguousarray(inside).ravel()
+        else:
+            flat = np.full(int(np.prod(shape, dtype=np.int64)), self.meta.fill_value, dtype=self.meta.dtype)
         names = [*(f"c{i}" for i in range(self.meta.ndim)), "v"]
         for lo in range(0, flat.size, BATCH_CELLS):
             hi = min(flat.size, lo + BATCH_CELLS)
-            at = np.unravel_index(np.arange(lo, hi), part.shape) if part.ndim else ()
-            yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int64) + o) for a, o in zip(at, origin)), _column(flat[lo:hi])], names=names)
+            at = np.unravel_index(np.arange(lo, hi), shape) if shape else ()
+            yield pa.RecordBatch.from_arrays([*(pa.array(a.astype(np.int64) + o) for a, (o, _) in zip(at, box)), _column(flat[lo:hi])], names=names)
 
 
 class Written(WriterCommitMessage):
@@ -179,14 +212,16 @@ class GridWriter(DataSourceArrowWriter):
     """One file for each chunk, or for each run of rows of one shard. A file appears under its name when it is whole."""
 
     def __init__(self, meta: ArrayMeta):
-        self.meta = meta
+        self.meta, self.store = meta, open_store(meta.root)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         open_file, units, files = None, {}, 0
+        self.zones: dict[str, list[float]] | None = None
         per = self.meta.units_per_file
         for batch in iterator:
             cols = [batch.column(f"g{i}").to_pylist() for i in range(self.meta.ndim)]
             payloads = batch.column("payload")
+            zones = batch.column("zone").to_pylist() if "zone" in batch.schema.names else None
             for i, unit in enumerate(zip(*cols) if cols else [()] * len(batch)):
                 payload = payloads[i].as_py()
                 file = tuple(c // n for c, n in zip(unit, per))
@@ -195,22 +230,49 @@ class GridWriter(DataSourceArrowWriter):
                     open_file, units = file, {}
                 if payload is not None:
                     units[tuple(c % n for c, n in zip(unit, per))] = payload
+                    if zones is not None:
+                        self.zones = self.zones if self.zones is not None else {}
+                        self.zones[",".join(map(str, unit))] = zones[i]
         files += self._flush(open_file, units)
         return Written(files)
 
     def _flush(self, file: tuple[int, ...] | None, units: dict[tuple[int, ...], bytes]) -> int:
         if file is None or not units:
             return 0
-        put(self.meta.chunk_path(file), shard_bytes(self.meta, units) if self.meta.sharding else next(iter(units.values())))
+        key, zones = self.meta.chunk_key(file), self.zones
+        self.zones = None
+        known = read_zones(self.store, key)
+        if known:  # until the file is there, its zone map says nothing
+            self.store.set(f"{key}{ZONES}", b"{}")
+        self.store.set(self.meta.chunk_key(file), shard_bytes(self.meta, units) if self.meta.sharding else next(iter(units.values())))
+        if zones is not None:  # a unit that was carried over as it was has the zone it had
+            held = {u: z if z is not None else known.get(u) for u, z in zones.items()}
+            self.store.set(f"{key}{ZONES}", json.dumps({u: z for u, z in held.items() if z is not None}).encode())
         return 1
 
     def commit(self, messages) -> None:
-        drop_plan(self.meta.root)
+        clear_plan_cache()
 
     def abort(self, messages) -> None:
         pass
 
 
+#: Behind a file's key, the key of its zone map: JSON with the least and greatest value of each unit by its coordinates.
+ZONES = ".zones"
+
+
+def read_zones(store, key: str) -> dict[str, list[float]]:
+    """A file's zone map; empty if there is none."""
+    data = store.get(f"{key}{ZONES}")
+    return json.loads(data) if data else {}
+
+
+def _zone(a: np.ndarray) -> list[float] | None:
+    """Least and greatest value; none for values that have no order or are not all numbers."""
+    lo, hi = (float(a.min()), float(a.max())) if a.size and a.dtype.kind in "iuf" else (np.nan, np.nan)
+    return [lo, hi] if np.isfinite(lo) and np.isfinite(hi) else None
+
+
 def shard_bytes(meta: ArrayMeta, units: dict[tuple[int, ...], bytes]) -> bytes:
     """A shard file: the units one after the other and the index of offsets and lengths, at the start or the end."""
     per = meta.units_per_file
@@ -227,16 +289,6 @@ def shard_bytes(meta: ArrayMeta, units: dict[tuple[int, ...], bytes]) -> bytes:
     return b"".join([raw, *body] if meta.sharding.at_start else [*body, raw])
 
 
-def put(path: str, data: bytes) -> None:
-    """Write a whole file beside its place and move it there, so that a task that runs again does no harm."""
-    path = local_path(path)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    fd, temp = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".part-")
-    with os.fdopen(fd, "wb") as f:
-        f.write(data)
-    os.replace(temp, path)
-
-
 def register(spark: SparkSession) -> None:
     """Make the format known to a session, with filter pushdown, and the package to its workers."""
     ship(spark)
@@ -246,27 +298,22 @@ def register(spark: SparkSession) -> None:
 
 def create(root: str, *, overwrite: bool = False, **metadata) -> ArrayMeta:
     """Write ``zarr.json`` (arguments of :func:`ndgrid.plans.meta.make_metadata`). Chunks that no one writes are fill."""
-    path = f"{local_path(str(root))}/zarr.json"
-    if os.path.exists(path):
-        if not overwrite:
-            raise FileExistsError(path)
-        import shutil
-
-        shutil.rmtree(local_path(str(root)))
-    doc = make_metadata(**metadata)
+    store, doc = open_store(str(root)), make_metadata(**metadata)
     meta = from_metadata(doc, str(root))
     Chain(meta.codecs, meta.dtype, meta.unit_shape)  # before anything is written: are all codecs known
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=1)
-    drop_plan(str(root))
+    if store.size("zarr.json") is not None:
+        if not overwrite:
+            raise FileExistsError(f"{root}/zarr.json")
+        store.clear()
+    store.set("zarr.json", json.dumps(doc, indent=1).encode())
+    clear_plan_cache()
     return meta
 
 
-def to_chunks(cells: DataFrame, meta: ArrayMeta) -> DataFrame:
+def to_chunks(cells: DataFrame, meta: ArrayMeta, *, zones: bool = False) -> DataFrame:
     """Cells -> encoded units. Cells that are missing from a unit are fill; a unit without cells is not stored.
 
-    Each unit is one group: its cells meet in one task as two Arrow columns, which the chunk shape bounds.
+    With ``zones`` there is a column ``zone`` with the least and greatest value, which becomes the files' zone maps. Each unit is one group: its cells meet in one task as two Arrow columns, which the chunk shape bounds.
     """
     ship(cells.sparkSession)
     n, unit, dtype, fill_value = meta.ndim, meta.unit_shape, meta.dtype, meta.fill_value
@@ -275,13 +322,14 @@ def to_chunks(cells: DataFrame, meta: ArrayMeta) -> DataFrame:
     def encode(key, table):
         a = np.full(unit, fill_value, dtype=dtype)
         at = tuple(table.column(f"c{i}").to_numpy() % k for i, k in enumerate(unit))
-        a[at] = np.array(table.column("v").to_pylist() if dtype.name == "uint64" else table.column("v").to_numpy(), dtype=dtype)
+        a[at] = np.array([int(x) for x in table.column("v").to_pylist()] if dtype.name == "uint64" else table.column("v").to_numpy(), dtype=dtype).reshape(a[at].shape)
         cols = {f"g{i}": pa.array([k.as_py()], pa.int64()) for i, k in enumerate(key)}
-        return pa.table({**cols, "payload": pa.array([Chain(codecs, dtype, unit).encode(a)], pa.binary()), "raw_nbytes": pa.array([nbytes], pa.int64())})
+        out = {**cols, "payload": pa.array([Chain(codecs, dtype, unit).encode(a)], pa.binary()), "raw_nbytes": pa.array([nbytes], pa.int64())}
+        return pa.table(out | ({"zone": pa.array([_zone(a)], pa.list_(pa.float64()))} if zones else {}))
 
     at = ", ".join(f"g{i} bigint" for i in range(n))
     rows = cells.select(*ops.axes(n), "v").withColumns({f"g{i}": g for i, g in enumerate(ops.chunk_of(unit))})
-    return rows.groupBy(*[f"g{i}" for i in range(n)]).applyInArrow(encode, f"{at}, payload binary, raw_nbytes bigint")
+    return rows.groupBy(*[f"g{i}" for i in range(n)]).applyInArrow(encode, f"{at}{', ' if n else ''}payload binary, raw_nbytes bigint{', zone array<double>' if zones else ''}")
 
 
 def write_chunks(chunks: DataFrame, meta: ArrayMeta) -> None:
@@ -291,47 +339,55 @@ def write_chunks(chunks: DataFrame, meta: ArrayMeta) -> None:
     if meta.sharding:
         file = [F.expr(f"{g} div {n}") for g, n in zip(keys, meta.units_per_file)]
         chunks = chunks.repartition(*file).sortWithinPartitions(*file, *keys)
-    chunks.select(*keys, "payload").write.format("ndgrid").mode("append").save(meta.root)
+    chunks.select(*keys, "payload", *(["zone"] if "zone" in chunks.columns else [])).write.format("ndgrid").mode("append").save(meta.root)
 
 
-def write_cells(cells: DataFrame, root: str, **metadata) -> ArrayMeta:
-    """Create an array and write cells to it."""
+def write_cells(cells: DataFrame, root: str, *, zones: bool = False, **metadata) -> ArrayMeta:
+    """Create an array and write cells to it, with ``zones`` also zone maps, by which reads with a limit on v skip units."""
     meta = create(root, **metadata)
-    write_chunks(to_chunks(cells, meta), meta)
+    write_chunks(to_chunks(cells, meta, zones=zones), meta)
     return meta
 
 
-def write_region(patch: DataFrame, root: str) -> None:
-    """Overwrite some cells of an array: only the files that hold them are read, changed and written again.
+def write_region(patch: DataFrame, root: str, bounds: Bounds | None = None) -> None:
+    """Overwrite some cells of an array. ``bounds`` is a box around them; without it one is looked for in ``patch``.
 
-    A shard is written whole, with the units that the patch leaves alone as they are.
+    Only units that the box touches are decoded, and of the array only the files that hold them are read at all. A
+    shard is written whole, with the payloads of its other units as they are. The new files' contents are complete in
+    the shared folder before any old file is replaced.
     """
     spark, meta = patch.sparkSession, open_meta(root)
     register(spark)
-    names, keys, file_shape = ops.axes(meta.ndim), [f"g{i}" for i in range(meta.ndim)], meta.chunk_shape
-    touched = patch.select(*ops.chunk_of(file_shape)).distinct()
+    n, names, keys = meta.ndim, ops.axes(meta.ndim), [f"g{i}" for i in range(meta.ndim)]
+    if bounds is None and n:
+        edges = patch.agg(*[f(c).alias(f"{f.__name__}{c}") for c in names for f in (F.min, F.max)]).first()
+        if edges[0] is None:
+            return
+        bounds = tuple((edges[2 * i], edges[2 * i + 1] + 1) for i in range(n))
+    units = cells_to_grid(bounds or (), meta.unit_shape)
+    if any(hi <= lo for lo, hi in units):
+        return
     old = spark.read.format("ndgrid").load(meta.root)
-    in_file = old.withColumns({f"g{i}": g for i, g in enumerate(ops.chunk_of(file_shape))})
-    kept = in_file.join(touched, keys, "left_semi").select(*names, "v")
-    kind = old.schema["v"].dataType
-    from ndgrid.runtime import cut
-
-    # The new chunks are complete in the shared folder before any old file is replaced.
-    chunks = cut(to_chunks(ops.overwrite(kept, patch.select(*names, F.col("v").cast(kind).alias("v")), meta.ndim), meta), "region")
-    write_chunks(chunks, meta)
-
-
-def stored_units(meta: ArrayMeta, bounds: Bounds) -> int:
-    """How many units of a box are on disk; as many as it touches means that nothing is filled."""
-    return sum(len(r.members) for r in ReadPlanner(meta).requests(bounds))
+    new = patch.select(*names, F.col("v").cast(old.schema["v"].dataType).alias("v"))
+    if n:
+        new = ops.overwrite(ops.box(old, grid_to_cells(units, meta.unit_shape, meta.shape), shift=False), new, n)
+    # Files keep zone maps if they have any: those of new units are made, those of others stay.
+    chunks = to_chunks(new, meta, zones=True).select(*keys, "payload", "zone")
+    if meta.sharding:
+        files = cells_to_grid(grid_to_cells(units, meta.unit_shape, meta.shape), meta.chunk_shape)
+        inside = [(F.col(g) >= lo) & (F.col(g) < hi) for g, (lo, hi) in zip(keys, units)]
+        stored = spark.read.format("ndgrid").option("view", "chunks").load(meta.root)
+        for g, (lo, hi), k in zip(keys, files, meta.units_per_file):
+            stored = stored.where(F.col(g) >= lo * k).where(F.col(g) < hi * k)
+        touched = inside[0] if inside else F.lit(True)
+        for x in inside[1:]:
+            touched &= x
+        chunks = chunks.unionByName(stored.where(~touched).select(*keys, "payload", F.lit(None).cast("array<double>").alias("zone")))
+    write_chunks(cut(chunks, "region"), meta)
 
 
 def read_box(spark: SparkSession, meta: ArrayMeta, bounds: Bounds, *, filled: bool = True, **options) -> DataFrame:
-    """Cells of a box with coordinates of the array, missing ones filled. The fill join only happens if a unit is missing."""
+    """Cells of a box with coordinates of the array; those of units that are not stored have the fill value."""
     register(spark)
-    cells = spark.read.format("ndgrid").options(**{k: str(v) for k, v in options.items() if v is not None}).load(meta.root)
-    inside = ops.box(cells, bounds, shift=False)
-    if not filled or stored_units(meta, bounds) == len(selected_units(meta, bounds)):
-        return inside
-    value = meta.fill_value
-    return ops.fill(inside, bounds, float(value) if meta.dtype.kind == "f" else value)
+    given = {k: str(v) for k, v in options.items() if v is not None} | {"fill": str(filled)}
+    return ops.box(spark.read.format("ndgrid").options(**given).load(meta.root), bounds, shift=False)
