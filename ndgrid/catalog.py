@@ -11,7 +11,7 @@ from ndgrid.functions import filters
 from ndgrid.operators import cells as ops
 from ndgrid.operators import ranges
 from ndgrid.operators.tables import CHUNK, EVENT_CHUNK, SHARD, embedding_cells, event_cells, table
-from ndgrid.plans.selection import Points, Stepped, int_axes, normalize, orthogonal
+from ndgrid.plans.selection import Stepped, int_axes, normalize, orthogonal
 from ndgrid.runtime import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,9 +92,9 @@ def sel_strided(spark, sf_dir):
 
 @query(f"{_E}, m AS (SELECT vec_id AS old, row_number() OVER (ORDER BY vec_id) - 1 AS new FROM embeddings WHERE label = 3) SELECT m.new AS c0, c1, v FROM e JOIN m ON e.c0 = m.old")
 def sel_mask(spark, sf_dir):
-    """The mask comes from a table, so its positions are counted there: one row for each masked row."""
-    at = tuple(r.vec_id for r in table(spark, sf_dir, "embeddings").where("label = 3").select("vec_id").orderBy("vec_id").collect())
-    return ops.take(embedding_cells(spark, sf_dir), (Points(at), Stepped(0, 64)))
+    """The mask comes from a table, and its positions are numbered there."""
+    at = ops.numbered(table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("old")))
+    return ops.take(embedding_cells(spark, sf_dir), (at, Stepped(0, 64)))
 
 
 @query(f"{_E}, m AS (SELECT * FROM (VALUES (2, 0), (0, 1), (2, 2)) t(old, new)) SELECT CAST(m.new AS BIGINT) AS c0, c1, v FROM e JOIN m ON e.c0 = m.old")
@@ -220,8 +220,9 @@ def bench_median(spark, sf_dir):
 
 @query(f"{_E}, s AS (SELECT c0 // 50 AS g0, c1 // 16 AS g1, min(v) AS lo, max(v) AS hi FROM e GROUP BY ALL) SELECT e.c0, e.c1, e.v FROM e JOIN s ON e.c0 // 50 = s.g0 AND e.c1 // 16 = s.g1 WHERE s.hi >= 0.3 AND e.v >= 0.3")
 def zone_map_scan(spark, sf_dir):
-    """A value predicate; Parquet's statistics skip row groups here as chunk statistics would skip chunks."""
-    return embedding_cells(spark, sf_dir).where("v >= 0.3")
+    """A limit on values: written chunks have zone maps, and those that cannot hold such a value are not read."""
+    root = _stored(spark, sf_dir, shards=SHARD, zones=True)
+    return spark.read.format("ndgrid").load(root).where("v >= 0.3")
 
 
 def _round_trip(codecs: list[dict]):
@@ -264,19 +265,36 @@ def _raw(spark, sf_dir):
 @query(f"{_E} SELECT c0, c1, v FROM e")
 def codec_blosc_read(spark, sf_dir):
     """Containers as other writers make them, decoded by our reader."""
-    from ndgrid.functions.blosc import encode_for_tests
+    from ndgrid.bench.fixtures import blosc_container
 
-    made = _raw(spark, sf_dir).select("g0", "g1", filters._on_bytes(lambda b: encode_for_tests(b, 4, 1024, "bit"), "binary")(F.col("payload")).alias("payload"))
+    made = _raw(spark, sf_dir).select("g0", "g1", filters.on_bytes(lambda b: blosc_container(b, 4, 1024, "bit"), "binary")(F.col("payload")).alias("payload"))
     decoded = made.select("g0", "g1", filters.decode_values(F.col("payload"), [{"name": "blosc"}], "float32", CHUNK, "float").alias("vals"))
     return ops.unpack(decoded, CHUNK, (_size(spark, sf_dir), 64))
 
 
-@query()
+#: Bytes of each chunk of the embeddings, in order: the bits of a float as a number, cut into four.
+_B = f"{_E}, u AS (SELECT c0 // 50 AS g0, c1 // 16 AS g1, (c0 % 50) * 16 + c1 % 16 AS p, CAST(CAST(CAST(v AS FLOAT) AS BIT) AS INTEGER)::BIGINT & 4294967295 AS x FROM e), b AS (SELECT g0, g1, p, k, (x >> (8 * k)) & 255 AS b FROM u, (SELECT unnest(range(0, 4)) AS k))"
+
+
+@query(f"{_B} SELECT g0, g1, string_agg(printf('%02X', b), '' ORDER BY k, p) AS shuffled FROM b GROUP BY g0, g1")
 def shuffle_bytes(spark, sf_dir):
     return _raw(spark, sf_dir).select("g0", "g1", F.hex(filters.shuffle_bytes(F.col("payload"), 4)).alias("shuffled"))
 
 
-@query()
+def _crc_table(name: str, polynomial: int) -> str:
+    """A common table with one row: what eight steps of a reflected CRC make of each byte."""
+    return f"{name} AS MATERIALIZED (SELECT list(t ORDER BY i) AS {name} FROM (WITH RECURSIVE s AS (SELECT i, i AS t, 0 AS n FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT i, CASE WHEN t & 1 = 1 THEN xor(t >> 1, {polynomial}) ELSE t >> 1 END, n + 1 FROM s WHERE n < 8) SELECT i, t FROM s WHERE n = 8))"
+
+
+def _crc_sql(name: str) -> str:
+    return f"CAST(xor(list_reduce(l, lambda r, b: xor(r >> 8, {name}[1 + xor(r & 255, b)]), 4294967295), 4294967295) AS BIGINT)"
+
+
+@query(
+    f"{_B}, {_crc_table('zip', 0xEDB88320)}, {_crc_table('castagnoli', 0x82F63B78)}, l AS (SELECT g0, g1, list(b ORDER BY p, k) AS l FROM b GROUP BY g0, g1) "
+    f"SELECT g0, g1, {_crc_sql('zip')} AS crc32, {_crc_sql('castagnoli')} AS crc32c, "
+    "CAST(((len(l) + list_sum(list_transform(l, lambda b, i: b * (len(l) - i + 1)))) % 65521) * 65536 + (1 + list_sum(l)) % 65521 AS BIGINT) AS adler32 FROM l, zip, castagnoli"
+)
 def checksums(spark, sf_dir):
     p = F.col("payload")
     return _raw(spark, sf_dir).select("g0", "g1", F.crc32(p).alias("crc32"), filters.crc32c(p).alias("crc32c"), filters.adler32(p).alias("adler32"))

@@ -70,24 +70,3 @@ def decode(data: bytes) -> bytes:
             block = unshuffle_bytes(block[:whole], width) + block[whole:]
         out.append(block[:want])
     return b"".join(out)
-
-
-def encode_for_tests(data: bytes, width: int, block_size: int, shuffle: str | None) -> bytes:
-    """A container as other writers make it. It is for tests: this library reads blosc and does not write it."""
-    import zstandard
-
-    blocks, flags = [], _ZSTD << 5 | 0x10 | {None: 0, "byte": _BYTE_SHUFFLE, "bit": _BIT_SHUFFLE}[shuffle]
-    for i in range(0, len(data), block_size):
-        b = data[i : i + block_size]
-        if shuffle == "byte":
-            b = shuffle_bytes(b, width)
-        elif shuffle == "bit":
-            whole = len(b) // (8 * width) * 8 * width
-            b = shuffle_bits(b[:whole], width) + b[whole:]
-        z = zstandard.ZstdCompressor(level=1).compress(b)
-        blocks.append(struct.pack("<i", len(z)) + z)
-    starts, at = [], 16 + 4 * len(blocks)
-    for b in blocks:
-        starts.append(at)
-        at += len(b)
-    return bytes([2, 1, flags, width]) + struct.pack("<iii", len(data), block_size, at) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(blocks)

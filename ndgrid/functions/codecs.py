@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import enum
 import gzip
+import math
 import struct
+import threading
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
@@ -83,6 +85,20 @@ class Compressor(Codec):
         raise NotImplementedError("the size of compressed bytes is not known before")
 
 
+_own = threading.local()
+
+
+def _zstd(part: str, level: int = 0, checksum: bool = False):
+    """A thread's compressor of a level, or its decompressor: their contexts take longer to make than a small chunk."""
+    import zstandard
+
+    held = _own.__dict__.setdefault("zstd", {})
+    key = (part, level, checksum)
+    if key not in held:
+        held[key] = zstandard.ZstdDecompressor() if part == "decompressor" else zstandard.ZstdCompressor(level=level, write_checksum=checksum)
+    return held[key]
+
+
 @dataclass(frozen=True)
 class Zstd(Compressor):
     level: int = 0
@@ -90,14 +106,10 @@ class Zstd(Compressor):
     name = "zstd"
 
     def encode(self, data):
-        import zstandard
-
-        return zstandard.ZstdCompressor(level=self.level, write_checksum=self.checksum).compress(data)
+        return _zstd("compressor", self.level, self.checksum).compress(data)
 
     def decode(self, data, nbytes=None):
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        return _zstd("decompressor").decompressobj().decompress(data)
 
 
 @dataclass(frozen=True)
@@ -481,12 +493,17 @@ class Chain:
         return data
 
     def decode(self, data: bytes, name: object = "chunk") -> np.ndarray:
+        return next(self.decode_batch([data], [name]))
+
+    def decode_batch(self, payloads: list[bytes], names: list[object]) -> Iterator[np.ndarray]:
+        """The arrays of several payloads, codec by codec for all of them up to the serializer."""
         for c in reversed(self.compressors):
-            data = c.decode(data)
-        want = int(np.prod(self.shape, dtype=np.int64)) * self.stored[-1].itemsize
-        if len(data) != want:
-            raise ValueError(f"{name}: {len(data)} bytes decoded, {want} expected")
-        a = np.frombuffer(data, dtype=self._wire()).astype(self.stored[-1], copy=False).reshape(self.shape)
-        for f, dtype in zip(reversed(self.filters), reversed(self.stored[:-1])):
-            a = f.decode(a).astype(dtype, copy=False)
-        return a
+            payloads = c.decode_batch(payloads)
+        want = math.prod(self.shape) * self.stored[-1].itemsize
+        for data, name in zip(payloads, names):
+            if len(data) != want:
+                raise ValueError(f"{name}: {len(data)} bytes decoded, {want} expected")
+            a = np.frombuffer(data, dtype=self._wire()).astype(self.stored[-1], copy=False).reshape(self.shape)
+            for f, dtype in zip(reversed(self.filters), reversed(self.stored[:-1])):
+                a = f.decode(a).astype(dtype, copy=False)
+            yield a

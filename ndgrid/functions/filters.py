@@ -1,20 +1,24 @@
 """The numeric filters as Spark columns, so that Catalyst and code generation see them, and codec chains as columns.
 
 Each filter has two implementations of the same rule: ``sql`` (columns over cells) and ``udf`` (the numpy codec over
-chunk payloads). Which one runs is chosen by argument, then by the process-wide override, then by the filter's default.
+chunks). Which one runs is chosen by argument, then by the process-wide override, then by the filter's default, in
+:func:`filter_cells` and :func:`shuffle_bytes`; the column functions between them are the ``sql`` forms themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ndgrid.functions.checksums import adler32 as _adler32
 from ndgrid.functions.checksums import crc32c as _crc32c
-from ndgrid.functions.codecs import MANTISSA, Chain
+from ndgrid.functions.codecs import MANTISSA, Chain, make
+from ndgrid.operators.cells import chunk_of, position_in
+from ndgrid.runtime import ship
 
 _DEFAULTS = {"delta": "sql", "fixedscaleoffset": "sql", "bitround": "sql", "shuffle": "udf"}
 _SUPPORTED = {"delta": ("sql", "udf"), "fixedscaleoffset": ("sql", "udf"), "bitround": ("sql", "udf"), "shuffle": ("sql", "udf")}
@@ -85,11 +89,57 @@ def bitround(v: Column, keepbits: int, dtype: str) -> Column:
 
 
 def shuffle_sql(payload: Column, width: int) -> Column:
-    """Byte transpose of a binary column in SQL functions alone; slow, and an independent check of the codec."""
+    """Byte transpose of a binary column in SQL functions alone; slow, and an independent check of the codec. Null stays null."""
     n = F.length(payload) / F.lit(width)
     digits = F.hex(payload)
     plane = lambda k: F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(digits, i * (2 * width) + 2 * k + 1, F.lit(2))), "")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), plane), ""))
+    planes = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), plane), ""))
+    return F.when(F.length(payload) > 0, planes).otherwise(payload)
+
+
+#: Spark's names of the dtypes that filters store.
+_SPARK = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double"}
+
+
+def filter_cells(cells: DataFrame, codec: dict, chunk_shape: tuple[int, ...], dtype: str, *, decode: bool = False, impl: str | None = None) -> DataFrame:
+    """Cells (c0 .., v) with a filter applied to each chunk's values, or undone. ``dtype`` is that of decoded values.
+
+    Integers wrap at their width in both forms. Values that single precision rounds on the way may differ in the last
+    bit between the two, as the ``sql`` form calculates in doubles.
+    """
+    own, name = make(codec), codec["name"]
+    kind = np.dtype(dtype)
+    to = kind if decode else own.stored(kind)
+    if resolve(name, impl) == "udf":
+        return _filter_chunks(cells, own, chunk_shape, kind, to, decode)
+    at, place, v = chunk_of(chunk_shape), position_in(chunk_shape), F.col("v")
+    if name == "delta":
+        wide = v.cast("bigint") if to.kind == "i" else v
+        out = (delta_decode if decode else delta_encode)(wide, at, place)
+        out = wrap_int(out, 8 * to.itemsize) if to.kind == "i" and to.itemsize < 8 else out
+    elif name == "fixedscaleoffset":
+        out = fso_decode(v, own.offset, own.scale) if decode else fso_encode(v, own.offset, own.scale, _SPARK[to.name])
+        out = F.rint(out) if decode and to.kind == "i" else out
+    else:
+        out = v if decode else bitround(v, own.keepbits, _SPARK[kind.name])
+    return cells.withColumn("v", out.cast(_SPARK[to.name]))
+
+
+def _filter_chunks(cells: DataFrame, codec, chunk_shape: tuple[int, ...], kind: np.dtype, to: np.dtype, decode: bool) -> DataFrame:
+    """The numpy codec on the values of each chunk, in C order; a chunk's cells meet in one task."""
+    ship(cells.sparkSession)
+    names = [f"c{i}" for i in range(len(chunk_shape))]
+
+    def run(table: pa.Table) -> pa.Table:
+        place = np.zeros(table.num_rows, dtype=np.int64)
+        for n, k in zip(names, chunk_shape):
+            place = place * k + table.column(n).to_numpy() % k
+        table = table.take(pa.array(np.argsort(place, kind="stable")))
+        held = table.column("v").to_numpy().astype(codec.stored(kind) if decode else kind)
+        return pa.table([*(table.column(n) for n in names), pa.array((codec.decode if decode else codec.encode)(held).astype(to))], names=[*names, "v"])
+
+    schema = ", ".join(f"{n} bigint" for n in names) + f", v {_SPARK[to.name]}"
+    return cells.select(*names, "v").groupBy(*chunk_of(chunk_shape)).applyInArrow(run, schema)
 
 
 def encode_values(values: Column, codecs: list[dict], dtype: str, shape: tuple[int, ...]) -> Column:
@@ -112,7 +162,9 @@ def decode_values(payload: Column, codecs: list[dict], dtype: str, shape: tuple[
     return F.pandas_udf(run, f"array<{element}>")(payload)
 
 
-def _on_bytes(f, kind: str):
+def on_bytes(f, kind: str):
+    """A function of byte strings as one of binary columns. Null stays null."""
+
     def run(chunks: pd.Series) -> pd.Series:
         return chunks.map(lambda c: None if c is None else f(bytes(c)))
 
@@ -121,11 +173,11 @@ def _on_bytes(f, kind: str):
 
 def crc32c(payload: Column) -> Column:
     """Castagnoli; Spark's own ``crc32`` is the sum that gzip uses."""
-    return _on_bytes(_crc32c, "bigint")(payload)
+    return on_bytes(_crc32c, "bigint")(payload)
 
 
 def adler32(payload: Column) -> Column:
-    return _on_bytes(_adler32, "bigint")(payload)
+    return on_bytes(_adler32, "bigint")(payload)
 
 
 def shuffle_bytes(payload: Column, width: int, impl: str | None = None) -> Column:
@@ -133,4 +185,4 @@ def shuffle_bytes(payload: Column, width: int, impl: str | None = None) -> Colum
 
     if resolve("shuffle", impl) == "sql":
         return shuffle_sql(payload, width)
-    return _on_bytes(lambda data: numpy_shuffle(data, width), "binary")(payload)
+    return on_bytes(lambda data: numpy_shuffle(data, width), "binary")(payload)

@@ -3,8 +3,10 @@ import zlib
 import numpy as np
 import pytest
 
+from ndgrid.bench.fixtures import blosc_container
 from ndgrid.functions import blosc, checksums
-from ndgrid.functions.codecs import BitRound, Chain, Delta, FixedScaleOffset, Shuffle, make
+from ndgrid.functions.codecs import BitRound, Chain, Checksum, Delta, FixedScaleOffset, Shuffle, make
+from ndgrid.functions.filters import shuffle_bytes as shuffle_column
 
 BYTES = ["zstd", "lz4", "gzip", "zlib", "crc32c", "ndgrid.balanced", "ndgrid.bitpack", "ndgrid.cascaded", "ndgrid.snappy", "ndgrid.deflate", "ndgrid.gdeflate"]
 
@@ -59,7 +61,7 @@ def test_shuffles_are_inverse(width):
 def test_blosc_containers(shuffle, dtype):
     data = np.random.default_rng(0).integers(0, 1000, 65536).astype(dtype).tobytes()
     width = np.dtype(dtype).itemsize
-    assert blosc.decode(blosc.encode_for_tests(data, width, 32768, shuffle)) == data
+    assert blosc.decode(blosc_container(data, width, 32768, shuffle)) == data
 
 
 def test_delta_is_exact_for_ints():
@@ -96,3 +98,85 @@ def test_chain():
     x = np.arange(192, dtype="uint16").reshape(16, 12) % 251
     chain = Chain([{"name": "shuffle", "configuration": {"elementsize": 2}}, {"name": "zstd"}, {"name": "crc32c"}], "uint16", x.shape)
     assert np.array_equal(chain.decode(chain.encode(x)).reshape(x.shape), x)
+
+
+def _stored_frame(data: bytes) -> bytes:
+    """A zstd frame by the format's description, with one block that is not compressed: magic number, a one-byte size, block."""
+    assert 0 < len(data) < 256
+    return bytes.fromhex("28b52ffd") + bytes([0x20, len(data)]) + (len(data) << 3 | 1).to_bytes(3, "little") + data
+
+
+def test_blosc_containers_by_hand():
+    """Containers put together byte by byte from the format's description, not by a writer of ours."""
+    head = lambda flags, width, n, block, size: bytes([2, 1, flags, width]) + b"".join(x.to_bytes(4, "little") for x in (n, block, size))
+    plain = b"abcdefgh"
+    assert blosc.decode(head(0x02, 1, 8, 8, 24) + plain) == plain  # copied as it is
+    assert blosc.decode(head(0x80, 1, 0, 8, 16)) == b""
+    frame = _stored_frame(plain)
+    stream = len(frame).to_bytes(4, "little") + frame
+    assert blosc.decode(head(0x90, 1, 8, 8, 20 + len(stream)) + (20).to_bytes(4, "little") + stream) == plain
+    # Byte shuffle, width 4: first bytes of both elements, then second ones.
+    assert blosc.decode(head(0x91, 4, 8, 8, 20 + len(stream)) + (20).to_bytes(4, "little") + stream) == b"acegbdfh"
+    # Bit shuffle, width 1: plane k has bit k of the eight elements, the first element lowest.
+    bits = bytes([0b00000011, 0, 0, 0, 0, 0, 0, 0b10000000])
+    frame = _stored_frame(bits)
+    stream = len(frame).to_bytes(4, "little") + frame
+    assert blosc.decode(head(0x94, 1, 8, 8, 20 + len(stream)) + (20).to_bytes(4, "little") + stream) == bytes([1, 1, 0, 0, 0, 0, 0, 0x80])
+    with pytest.raises(NotImplementedError):
+        blosc.decode(head(0x10, 1, 8, 8, 20 + len(stream)) + (20).to_bytes(4, "little") + stream)
+
+
+@pytest.mark.parametrize("name", ["ndgrid.balanced", "ndgrid.snappy", "ndgrid.deflate"])
+def test_checksum_policies(name):
+    data, of = bytes(range(200)), lambda p: make({"name": name, "configuration": {"checksum_policy": p}})
+    for write in Checksum:
+        raw = of(write.value).encode(data)
+        damaged = raw[:9] + bytes([raw[9] ^ 1]) + raw[10:]
+        for read in Checksum:
+            reader = of(read.value)
+            needs = read in (Checksum.VERIFY_IF_PRESENT, Checksum.COMPUTE_AND_VERIFY_IF_PRESENT, Checksum.COMPUTE_AND_VERIFY)
+            if read is Checksum.COMPUTE_AND_VERIFY and not write.computes:
+                with pytest.raises(ValueError):
+                    reader.decode(raw)
+                continue
+            assert reader.decode(raw) == data
+            if needs and write.computes:
+                with pytest.raises(ValueError):
+                    reader.decode(damaged)
+            else:
+                assert reader.decode(damaged) == data
+
+
+def test_documents_and_sizes():
+    for name in BYTES:
+        codec = make(name)
+        again = make(codec.to_dict() | {"extra": 1})
+        assert again == codec and make({"name": name, **codec.to_dict()["configuration"], "unknown": 3}) == codec
+    assert make("crc32c").encoded_size(10) == 14 and make("shuffle").encoded_size(8) == 8
+    assert FixedScaleOffset(dtype="float64", astype="int16").encoded_size(80) == 20
+    with pytest.raises(NotImplementedError):
+        make("zstd").encoded_size(4)
+    with pytest.raises(NotImplementedError):
+        make("nothing")
+    with pytest.raises(NotImplementedError):
+        make("blosc").encode(b"x")
+
+
+def test_shuffle_in_sql_is_the_codecs(spark):
+    rows = [(np.random.default_rng(i).integers(0, 256, 8 * i, dtype=np.uint8).tobytes(),) for i in range(6)] + [(None,)]
+    frame = spark.createDataFrame(rows, "b binary")
+    for width in (2, 4, 8):
+        got = frame.select("b", shuffle_column(frame.b, width, "sql").alias("x"), shuffle_column(frame.b, width, "udf").alias("y")).collect()
+        assert all(r.x == r.y for r in got)
+    with pytest.raises(ValueError):
+        shuffle_column(frame.b, 4, "gpu")
+
+
+def test_zstd_contexts_are_kept_by_thread():
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ndgrid.functions.codecs import _zstd
+
+    assert _zstd("decompressor") is _zstd("decompressor") and _zstd("compressor", 3) is not _zstd("compressor", 4)
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(_zstd, "decompressor").result() is not _zstd("decompressor")
