@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ndgrid.llm.rows import map_texts, slices
 from ndgrid.runtime import cut, lean, ship
@@ -194,7 +195,7 @@ def _in_passes(docs: DataFrame, sent: list, text: str, keep: list[str]) -> DataF
 
     for patterns in sent:
         rows = cut(rows.mapInArrow(lean(add(patterns)), rows.schema), "contamination")
-    out = rows.select("row").schema.add("hits", HITS)
+    out = T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"hits {HITS}").fields])
     return rows.mapInArrow(lean(summed), out)
 
 
