@@ -1,7 +1,7 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Each distinct fingerprint gets a row of its Hamming distances to PIVOTS reference fingerprints. Two fingerprints that
-differ in k bits differ by at most k in every coordinate of their rows, so a pair whose largest coordinate difference
+Each distinct fingerprint gets a row of its Hamming distances to PIVOTS reference fingerprints, computed once and kept
+beside it in the shared folder. Two fingerprints that differ in k bits differ by at most k in every coordinate of their rows, so a pair whose largest coordinate difference
 is above the limit cannot link; only survivors are compared bit by bit.
 
 Which rows meet at all: with at most k differing bits and the 64 bits cut into k + 2 fields, at least two fields are
@@ -15,6 +15,7 @@ pair of chunks is worked on by a task of its own, so no link is lost and no grou
 from __future__ import annotations
 
 import itertools
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -86,16 +87,14 @@ def forest(fp: np.ndarray, table: np.ndarray, limit: int, side: np.ndarray | Non
     left = np.argsort(table[:, 0], kind="stable")  # by the first coordinate: a window of it is all that can link
     first = table[left, 0].astype(np.int64)
     while len(left) > 1:
-        front, left, first = [int(left[0])], left[1:], first[1:]
+        front, left, first = deque([int(left[0])]), left[1:], first[1:]
         while front and len(left):
-            x = front.pop()
+            x = front.popleft()
             lo, hi = np.searchsorted(first, [int(table[x, 0]) - limit, int(table[x, 0]) + limit + 1])
             near = left[lo:hi]
             if not len(near):
                 continue
-            keep = np.ones(len(near), dtype=bool)
-            if len(near) > 8:
-                keep = (np.abs(table[near].astype(np.int16) - table[x].astype(np.int16)).max(axis=1) <= limit)
+            keep = np.abs(table[near].astype(np.int16) - table[x].astype(np.int16)).max(axis=1) <= limit
             keep[keep] = np.bitwise_count(fp[near[keep]] ^ fp[x]) <= limit
             if side is not None:
                 keep &= side[near] != side[x]
@@ -103,13 +102,26 @@ def forest(fp: np.ndarray, table: np.ndarray, limit: int, side: np.ndarray | Non
                 found = near[keep].tolist()
                 a += [x] * len(found)
                 b += found
-                front += found
+                front.extend(found)
                 stay = np.ones(len(left), dtype=bool)
                 stay[lo:hi] = ~keep
                 left, first = left[stay], first[stay]
     return a, b
 
 
+def distance_table(distinct: DataFrame, n_pivots: int = PIVOTS) -> DataFrame:
+    """(fp) -> fp and its distances, eight to a bigint column d0, d1, ..."""
+    columns = [f"d{i}" for i in range(-(-n_pivots // 8))]
+
+    def run(batches):
+        references = pivots(8 * len(columns))
+        for batch in batches:
+            packed = distance_rows(batch.column(0).to_numpy().view(np.uint64), references).astype(np.uint8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in packed.reshape(len(batch), len(columns)).T)], names=["fp", *columns])
+
+    return distinct.select("fp").mapInArrow(lean(run), ", ".join(f"{c} bigint" for c in ("fp", *columns)))
+
+
 def _keys(limit: int) -> list[tuple[int, ...]]:
     """Bit masks of the tables: every pair out of limit + 2 fields of nearly equal width."""
     edges = [round(i * 64 / (limit + 2)) for i in range(limit + 3)]
@@ -126,23 +138,25 @@ def links(distinct: DataFrame, *, limit: int = 4, key_rows: int = KEY_ROWS, n_pi
     spark = distinct.sparkSession
     ship(spark)
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_keys(limit))])
-    rows = distinct.select("fp", F.explode(tables).alias("k")).select("k.t", "k.key", "fp")
+    near = cut(distance_table(distinct, n_pivots), "simhash-pivots")
+    held_as = near.columns[1:]
+    rows = near.select("fp", *held_as, F.explode(tables).alias("k")).select("k.t", "k.key", "fp", *held_as)
     sizes = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
     met = rows.join(sizes, ["t", "key"])
     # A key that fits is one unit; a larger one has a unit for each pair of chunks, with the rows of both.
     met = met.withColumn("c", F.ceil(F.col("n") / F.lit(key_rows)).cast("int")).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
-    units = met.withColumn("pair", F.explode(pairs)).select("t", "key", "pair.lo", "pair.hi", "fp", F.col("i"))
+    units = met.withColumn("pair", F.explode(pairs)).select("t", "key", "pair.lo", "pair.hi", "fp", F.col("i"), *held_as)
     units = units.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
     def run(batches):
-        references, held = pivots(n_pivots), None
+        held = None
 
         def done(cols):
             fp = cols["fp"].view(np.uint64)
             cut_at = np.flatnonzero(np.any([np.diff(cols[c]) != 0 for c in ("t", "key", "lo", "hi")], axis=0)) + 1
             a, b = [], []
-            table = distance_rows(fp, references)
+            table = np.stack([cols[c] for c in held_as], axis=1).view(np.uint8)
             for lo, hi in zip([0, *cut_at.tolist()], [*cut_at.tolist(), len(fp)]):
                 if hi - lo == 2:  # the usual unit
                     if np.abs(table[lo].astype(np.int16) - table[lo + 1]).max() <= limit and int(fp[lo] ^ fp[lo + 1]).bit_count() <= limit:
@@ -156,7 +170,7 @@ def links(distinct: DataFrame, *, limit: int = 4, key_rows: int = KEY_ROWS, n_pi
             f = cols["fp"]
             return pa.RecordBatch.from_arrays([pa.array(f[a] if a else f[:0]), pa.array(f[b] if b else f[:0])], names=["u", "v"])
 
-        names = ("t", "key", "lo", "hi", "fp", "i")
+        names = ("t", "key", "lo", "hi", "fp", "i", *held_as)
         for batch in batches:
             cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
             if held is not None:
