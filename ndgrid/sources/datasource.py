@@ -268,9 +268,14 @@ def read_zones(store, key: str) -> dict[str, list[float]]:
 
 
 def _zone(a: np.ndarray) -> list[float] | None:
-    """Least and greatest value; none for values that have no order or are not all numbers."""
-    lo, hi = (float(a.min()), float(a.max())) if a.size and a.dtype.kind in "iuf" else (np.nan, np.nan)
-    return [lo, hi] if np.isfinite(lo) and np.isfinite(hi) else None
+    """Least and greatest value, as doubles that are not inside them; none if there is no order or not all are finite."""
+    if not a.size or a.dtype.kind not in "iuf":
+        return None
+    low, high = a.min().item(), a.max().item()
+    lo, hi = float(low), float(high)
+    if not (np.isfinite(lo) and np.isfinite(hi)):
+        return None
+    return [lo if lo <= low else float(np.nextafter(lo, -np.inf)), hi if hi >= high else float(np.nextafter(hi, np.inf))]
 
 
 def shard_bytes(meta: ArrayMeta, units: dict[tuple[int, ...], bytes]) -> bytes:
