@@ -154,3 +154,11 @@ def locate(meta: ArrayMeta, store, file: tuple[int, ...], units: np.ndarray, *,
     index = parse_index(meta, data[at : at + width] if data is not None else store.read(key, at, width))
     entry = index[tuple((units % np.array(per)).T)] if meta.ndim else index.reshape(1, 2)
     return Located(units, entry[:, 0], entry[:, 1], data)
+
+
+def payloads(meta: ArrayMeta, store, file: tuple[int, ...], located: Located, *, max_fused_bytes: int = READ_FUSED_BYTES, max_gap_bytes: int = 0) -> Iterator[list[tuple[tuple[int, ...], bytes]]]:
+    """(unit, its bytes) of the stored ones, those of one fused read at a time."""
+    key = meta.chunk_key(file)
+    for lo, hi, members in located.windows(max_fused_bytes=max_fused_bytes, max_gap_bytes=max_gap_bytes):
+        window = memoryview(located.data)[lo:hi] if located.data is not None else memoryview(store.read(key, lo, hi - lo))
+        yield [(tuple(located.units[i].tolist()), bytes(window[at : at + n])) for i, at, n in members]

@@ -25,7 +25,7 @@ from ndgrid.functions.codecs import Chain
 from ndgrid.operators import cells as ops
 from ndgrid.plans.coalesce import READ_FUSED_BYTES
 from ndgrid.plans.meta import ABSENT, ArrayMeta, clear_plan_cache, from_metadata, make_metadata, open_meta
-from ndgrid.plans.reads import MAX_RUNS, BoxPlan, Run, cells_to_grid, clip, grid_to_cells, locate
+from ndgrid.plans.reads import MAX_RUNS, BoxPlan, Run, cells_to_grid, clip, grid_to_cells, locate, payloads
 from ndgrid.plans.selection import Bounds
 from ndgrid.plans.store import open_store
 from ndgrid.runtime import cut, ship
@@ -169,23 +169,21 @@ class GridReader(DataSourceReader):
             if not len(units):
                 continue
             found = locate(self.meta, store, file, units, whole_up_to=self.max_fused)
-            for lo, hi, members in found.windows(max_fused_bytes=self.max_fused, max_gap_bytes=self.max_gap):
-                window = memoryview(found.data)[lo:hi] if found.data is not None else memoryview(store.read(self.meta.chunk_key(file), lo, hi - lo))
-                payloads = [bytes(window[at : at + n]) for _, at, n in members]
-                units = [tuple(found.units[i].tolist()) for i, _, _ in members]
+            for read in payloads(self.meta, store, file, found, max_fused_bytes=self.max_fused, max_gap_bytes=self.max_gap):
                 if self.chunks:
-                    yield self._encoded(units, payloads)
+                    yield self._encoded(read)
                 else:
-                    for unit, values in zip(units, chain.decode_batch(payloads, [f"{self.meta.root} {u}" for u in units])):
+                    arrays = chain.decode_batch([p for _, p in read], [f"{self.meta.root} {u}" for u, _ in read])
+                    for (unit, _), values in zip(read, arrays):
                         yield from self._cells(unit, values)
             if self.fill:
                 for unit in found.units[~found.stored].tolist():
                     yield from self._cells(tuple(unit), None)
 
-    def _encoded(self, units: list[tuple[int, ...]], payloads: list[bytes]) -> pa.RecordBatch:
-        cols = [pa.array([u[i] for u in units], pa.int64()) for i in range(self.meta.ndim)]
-        raw = pa.array([self.meta.unit_nbytes] * len(units), pa.int64())
-        return pa.RecordBatch.from_arrays([*cols, pa.array(payloads, pa.binary()), raw], names=[*(f"g{i}" for i in range(self.meta.ndim)), "payload", "raw_nbytes"])
+    def _encoded(self, read: list[tuple[tuple[int, ...], bytes]]) -> pa.RecordBatch:
+        cols = [pa.array([u[i] for u, _ in read], pa.int64()) for i in range(self.meta.ndim)]
+        raw = pa.array([self.meta.unit_nbytes] * len(read), pa.int64())
+        return pa.RecordBatch.from_arrays([*cols, pa.array([p for _, p in read], pa.binary()), raw], names=[*(f"g{i}" for i in range(self.meta.ndim)), "payload", "raw_nbytes"])
 
     def _cells(self, unit: tuple[int, ...], values: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """The box's cells of a unit, fill without values."""
