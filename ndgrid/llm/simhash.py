@@ -218,15 +218,24 @@ def _classes(marks: DataFrame, limit: int, key_rows: int) -> DataFrame:
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = 4, key_rows: int = KEY_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component: smallest id (null last), then hash.
 
-    Of rows that are repeated as a whole (id and text), one stays. The rows to keep are found over ids, hashes and
-    fingerprints; the texts are shuffled once, by id and hash, to meet them.
+    Of rows that are repeated as a whole (id and text), one stays. The rows that go are found over ids, hashes and
+    fingerprints; an anti-join on id and hash takes them out, for which the texts are shuffled unless the rows that go
+    are few enough to be broadcast. Only texts of rows that are repeated meet each other.
+
+    Defined cases: those of :func:`near_duplicates`; a component whose rows all have a null id keeps that with the
+    smallest hash; columns of any name may be there.
     """
+    names = ["__key", "__h"]
     marks = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "simhash-fp")
     tagged = marks.join(_classes(marks, limit, key_rows).select("fp", "root"), "fp")
     first = tagged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))).alias("first"))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     kept = cut(first.select(key("first.doc_id").alias("__key"), F.col("first.h").alias("__h")), "simhash-kept")
-    single = marks.groupBy("doc_id", "h").count().where("count > 1").isEmpty()
+    counted = marks.select(key("doc_id").alias("__key"), F.col("h").alias("__h")).groupBy(*names).count()
+    gone = cut(counted.join(kept, names, "left_anti").select(*names), "simhash-gone")
+    again = cut(counted.where("count > 1").join(kept, names, "left_semi").select(*names), "simhash-again")
     rows = docs.select(F.struct("*").alias("row"), key(f"`{doc_id}`").alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__h"))
-    rows = rows.join(kept, ["__key", "__h"], "left_semi")
-    return (rows if single else rows.dropDuplicates(["__key", "__h"])).select("row.*")
+    rows = rows.join(gone, names, "left_anti")
+    if not again.isEmpty():
+        rows = rows.join(again, names, "left_anti").unionByName(rows.join(again, names, "left_semi").dropDuplicates(names))
+    return rows.select("row.*")
