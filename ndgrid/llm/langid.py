@@ -29,7 +29,7 @@ SWITCH = 12.0
 #: A language uses a script if so many of its letters are in it.
 SCRIPT_SHARE = 0.01
 #: Characters of text that are worked on together; a longer text goes part by part.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Words that a path is followed through one by one; pieces of a text move side by side.
 PIECE = 512
 
