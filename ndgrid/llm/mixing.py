@@ -14,23 +14,27 @@ rows are ordered by a hash. What a document gives is the sum of what the shards
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ndgrid.llm.rows import slices
 from ndgrid.runtime import cut, lean, ship
 
 #: Words of a block: documents of up to so many stay in one piece.
 BLOCK_WORDS = 512
 #: Words aimed at in one output shard.
 SHARD_WORDS = 8_000_000
+#: Words aimed at in a partition of mixed documents, of which there are MAX_PARTITIONS at most.
+PART_WORDS = 2_000_000
+MAX_PARTITIONS = 20_000
 #: No document is taken more often than this.
 MAX_REPEATS = 3
 #: Ranges that each source's order and draws are counted in; no task ever ranks a whole source.
@@ -231,30 +235,30 @@ def _find_last(placed: DataFrame, sources: dict[str, Source], block_words: int,
             for k, at, words in draws(batch):
                 total = np.bincount(at // sent.value[1][k], weights=words)
                 held = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(held), pa.string()), pa.array(held, pa.int64()), pa.array(total[held].astype(np.int64))], names=["sk", "range", "words"])
+                yield rows_of(k, held, total[held], sent.value[0][k].rest)
 
-    own = placed.select("sk", "size", "n_blocks", "first_block").where("n_blocks > 0")
-    rest = spark.createDataFrame([(k, s.rest) for k, s in open_.items()], "sk string, rest bigint")
+    def rows_of(k: str, place: np.ndarray, words: np.ndarray, rest: int) -> pa.RecordBatch:
+        n = len(place)
+        return pa.RecordBatch.from_arrays([pa.array([k] * n, pa.string()), pa.array([rest] * n, pa.int64()), pa.array(place.astype(np.int64)), pa.array(words.astype(np.int64))], names=["sk", "rest", "place", "words"])
 
-    def reached(rows: DataFrame, start) -> DataFrame:
-        """The row of each source where the running total gets to the rest."""
-        rows = rows.withColumn("upto", F.sum("words").over(W.partitionBy("sk").orderBy("range")) + start)
-        return rows.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+    def reached(work) -> list:
+        """The row of each source where the running total of words, in the order of places, gets to the rest."""
+        own = placed.select("sk", "size", "n_blocks", "first_block").where("n_blocks > 0")
+        rows = own.mapInArrow(lean(work), "sk string, rest bigint, place bigint, words bigint").groupBy("sk", "rest", "place").agg(F.sum("words").alias("words"))
+        rows = rows.withColumn("upto", F.sum("words").over(W.partitionBy("sk").orderBy("place")))
+        return rows.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest"))).collect()
 
-    ranges = own.mapInArrow(lean(summed), "sk string, range bigint, words bigint").groupBy("sk", "range").agg(F.sum("words").alias("words"))
-    found = {r.sk: (r["range"], r.upto - r.words) for r in reached(ranges.join(F.broadcast(rest), "sk"), F.lit(0)).collect()}
-    here = spark.sparkContext.broadcast({k: r for k, (r, _) in found.items()})
+    here = spark.sparkContext.broadcast({r.sk: (r.place, r.rest - (r.upto - r.words)) for r in reached(summed)})
 
     def listed(batches):
         for batch in batches:
             for k, at, words in draws(batch):
-                on = at // sent.value[1][k] == here.value[k]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * int(on.sum()), pa.string()), pa.array(at[on], pa.int64()), pa.array(words[on], pa.int64())], names=["sk", "range", "words"])
+                where, left = here.value[k]
+                on = at // sent.value[1][k] == where
+                yield rows_of(k, at[on], words[on], left)
 
-    started = spark.createDataFrame([(k, sources[k].rest, int(n)) for k, (_, n) in found.items()], "sk string, rest bigint, start bigint")
-    one = own.mapInArrow(lean(listed), "sk string, range bigint, words bigint").join(F.broadcast(started), "sk")
-    for r in reached(one, F.col("start")).collect():
-        sources[r.sk].last, sources[r.sk].last_words = r["range"] + 1, r.rest - (r.upto - r.words)
+    for r in reached(listed):
+        sources[r.sk].last, sources[r.sk].last_words = r.place + 1, r.rest - (r.upto - r.words)
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
@@ -330,19 +334,26 @@ def _with_runs(batch: pa.RecordBatch, sources: dict[str, tuple[Source, np.ndarra
     return pa.RecordBatch.from_arrays(out, names=["id", "h", "size", "source_size", "target", "runs"])
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+def block_texts(text: str, runs: list[dict], block_words: int) -> list[str | None]:
+    """The text of each run of blocks, in the blocks' order; None for one that has all words.
 
-
-def taken_text(text: str, blocks: list[int], part: int, part_words: int, block_words: int) -> str:
-    """The text of some blocks, in their order. What is taken of a block goes on to the next word, taken or not."""
-    starts, end = {}, len(text)
-    for i, m in enumerate(_WORD.finditer(text)):
-        if i % block_words == 0:
-            starts[i // block_words] = m.start()
-        if part >= 0 and i == part * block_words + part_words:
-            end = m.start()
-    starts[0] = 0
-    return "".join(text[starts[b] : end if b == part else starts.get(b + 1, len(text))] for b in sorted(blocks))
+    What is taken of a block goes on to the next word, taken or not, so the blocks of a text put together are the text.
+    """
+    data = text.encode("utf-8", "replace")
+    raw = np.frombuffer(data, dtype=np.uint8)
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    edges = np.append(starts[::block_words], len(data)).tolist()
+    edges[0] = 0
+    out: list[str | None] = []
+    for run in runs:
+        if run["words"] >= len(starts):
+            out.append(None)
+            continue
+        stop, behind = run["part"], run["part"] * block_words + run["part_words"]
+        end = int(starts[behind]) if behind < len(starts) else len(data)
+        out.append(b"".join(data[edges[b] : end if b == stop else edges[b + 1]] for b in run["blocks"]).decode())
+    return out
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 7, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -350,24 +361,49 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, *, text: str = "text", do
 
     A document whose blocks all go to one shard in a pass keeps its text as it is; else a row has the text of the
     shard's blocks. Rows come out by shard, and within a shard by a hash, so written files hold the shards one after
-    the other, each with its exact quota of every source. Texts are shuffled twice: to meet their draws, and into the
-    shards' order. A document that many rows repeat is met by the draws of all of them, one by one.
+    the other, each with its exact quota of every source. Texts are shuffled twice: to meet their draws, and to the
+    partition of their shard, which follows from shard and hash, so nothing is sampled. A document that many rows
+    repeat is met by the draws of all of them, one by one.
 
     Defined cases are those of :func:`mix`; a document of which nothing is taken has no row.
     """
-    runs = mixed.select(_key("id").alias("__key"), F.col("h").alias("__h"), "size", F.explode("runs").alias("run"))
+    ship(docs.sparkSession)
+    runs = cut(mixed.where(F.size("runs") > 0).select(_key("id").alias("__key"), F.col("h").alias("__h"), "size", "taken", "runs"), "mix-runs")
+    last = F.max(F.array_max(F.transform("runs", lambda r: r["shard"]))).alias("shard")
+    top = runs.agg(last, F.sum("taken").alias("words")).first()
+    shards = (top.shard or 0) + 1
+    parts = max(1, min(-(-(top.words or 0) // (shards * PART_WORDS)), MAX_PARTITIONS // shards))
     rows = docs.select(F.struct("*").alias("row"), _key(doc_id).alias("__key"), _hash(doc_id, text, seed).alias("__h"))
-    if not mixed.groupBy(_key("id"), "h").count().where("count > 1").isEmpty():
+    if not runs.groupBy("__key", "__h").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["__key", "__h"])
-    met = rows.join(runs, ["__key", "__h"])
-
-    def some(texts: pd.Series, run: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if t is None else taken_text(t, *r, block_words) for t, r in zip(texts, run[["blocks", "part", "part_words"]].itertuples(index=False))], dtype=object)
+    others = [c for c in docs.columns if c != text]
+    met = rows.join(runs, ["__key", "__h"]).select(F.struct(*[F.col(f"row.`{c}`").alias(c) for c in others]).alias("row") if others else F.lit(None).cast("struct<none:int>").alias("row"), F.col(f"row.`{text}`").alias("text"), "__h", "runs", "size")
 
-    whole = F.col(f"row.`{text}`")
-    in_part = F.col("run.words") < F.col("size")
-    cut_text = F.when(in_part, F.pandas_udf(some, "string")(F.when(in_part, whole), "run")).otherwise(whole)
-    place = F.xxhash64(F.lit(seed + 1), "__h", "run.epoch", "run.shard")
-    placed = met.select(cut_text.alias("text"), "row", F.col("run.shard").alias("shard"), place.alias("place"))
-    ordered = placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    def draw(batches):
+        for batch in batches:
+            for lo, n in slices(batch.column(1)):
+                yield _drawn(batch.slice(lo, n), block_words)
+
+    out = T.StructType([met.schema["row"], *T.StructType.fromDDL("text string, __h bigint, shard int, epoch int").fields])
+    drawn = met.mapInArrow(lean(draw), out)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "__h", F.col("epoch"), F.col("shard")), 33)
+    drawn = drawn.select("row", "text", "shard", place.alias("place"))
+    partition = (F.col("shard") * parts + F.shiftright(F.col("place") * parts, 31)).cast("int")
+    ordered = drawn.repartitionById(shards * parts, partition).sortWithinPartitions("shard", "place")
     return ordered.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _drawn(batch: pa.RecordBatch, block_words: int) -> pa.RecordBatch:
+    """A row for each run of the batch's documents, with the run's text. Whole texts are not touched."""
+    texts, runs = batch.column(1), batch.column(3)
+    flat, upto = runs.flatten(), runs.offsets.to_numpy() - runs.offsets[0].as_py()
+    of = np.repeat(np.arange(len(batch)), np.diff(upto))
+    some = flat.field("words").to_numpy(zero_copy_only=False) < batch.column(4).to_numpy()[of]
+    pieces: list[str | None] = [None] * len(of)
+    for i in np.unique(of[some]).tolist():
+        mine = slice(int(upto[i]), int(upto[i + 1]))
+        pieces[mine] = block_texts(texts[i].as_py(), flat.slice(mine.start, mine.stop - mine.start).to_pylist(), block_words)
+    cut_up = np.array([p is not None for p in pieces], dtype=bool)
+    whole = texts.take(pa.array(of, mask=cut_up))
+    text = pc.coalesce(pa.array(pieces, pa.string()).cast(whole.type), whole)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), text, batch.column(2).take(pa.array(of)), flat.field("shard"), flat.field("epoch")], names=["row", "text", "__h", "shard", "epoch"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ndgrid.llm import bitsliced, decontaminate, langid, ledger, licenses, mixing, quality, queries, secrets, token_counts, token_orc
+from ndgrid.llm import bitsliced, decontaminate, langid, ledger, licenses, mixing, quality, queries, secrets, simhash, token_counts, token_orc
 from ndgrid.runtime import cut, shared_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` string, `a.b` string"
@@ -246,8 +246,13 @@ def test_mixed_files_hold_shard_after_shard(spark, mixed):
 
 def test_taken_text_is_whole_in_parts():
     text = "  " + " ".join(f"w{i}\n" for i in range(50)) + " "
-    parts = [mixing.taken_text(text, [b], -1, 0, 8) for b in range(7)]
-    assert "".join(parts) == text and mixing.taken_text(text, [1, 0, 3], 3, 2, 8).split() == [f"w{i}" for i in [*range(16), 24, 25]]
+    run = lambda blocks, words, part=-1, part_words=0: {"blocks": blocks, "words": words, "part": part, "part_words": part_words}
+    parts = mixing.block_texts(text, [run([b], min(8, 50 - 8 * b)) for b in range(7)], 8)
+    assert "".join(parts) == text
+    some, whole = mixing.block_texts(text, [run([0, 1, 3], 18, 3, 2), run(list(range(7)), 50)], 8)
+    assert some.split() == [f"w{i}" for i in [*range(16), 24, 25]] and whole is None
+    accents = "é\u2003ü x\x0b日本 y"
+    assert mixing.block_texts(accents, [run([0], 1), run([1], 1), run([2], 1), run([3], 1)], 1) == ["é\u2003ü ", "x\x0b", "日本 ", "y"]
 
 
 def test_token_files_follow_the_given_order(spark, sf):
@@ -402,6 +407,37 @@ def test_licenses_with_changed_words_are_found():
     assert n > 250 and found == n
 
 
+def test_licenses_in_short_texts_and_at_the_limit():
+    t = licenses.Templates({"two": ["only this"], "one": ["word"], "long": [" ".join(f"t{j}" for j in range(12))], "empty": [" - "]})
+    names = lambda text: [(m["license"], m["containment"]) for m in licenses.scan(t, [text])[0]]
+    assert [names(x) for x in (None, "", " .;", "only", "Only THIS!", "word", "a")] == [[], [], [], [], [("two", 1.0)], [("one", 1.0)], []]
+    words = [f"t{j}" for j in range(12)]  # ten shingles: two fewer is the limit, three fewer is beyond it
+    assert names(" ".join(["x", *words[2:], "y"])) == [("long", 0.8)] and names(" ".join(["x", *words[:-2]])) == [("long", 0.8)]
+    assert names(" ".join(words[3:])) == [] and names(" ".join([*words[:5], "x", *words[6:]])) == []
+    assert [m["license"] for m in licenses.scan(t, [" ".join(words)] * 3)[2]] == ["long"]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(3, "some text", "a"), (1, None, "b"), (2, "more of it", "c")]
+    frame = spark.createDataFrame(rows, "`the.id` int, `a text` string, ids string")
+    path = shared_path(spark, "names")
+    token_orc.write_tokens(frame, path, queries.tokenizer_path(), doc_id="the.id", text="a text")
+    assert [r.doc_id for r in token_orc.ids_digest(spark, path).orderBy("start").collect()] == [1, 2, 3]
+    mixed = mixing.mix(frame, doc_id="the.id", text="a text", source="ids")
+    out = mixing.mixed_documents(frame, mixed, text="a text", doc_id="the.id")
+    assert out.columns == frame.columns and {r["the.id"] for r in out.collect()} <= {2, 3}
+    assert simhash.keep_one(frame, doc_id="the.id", text="a text").count() == 3
+    hits = decontaminate.find_contamination(frame, frame, text="a text", item_id="the.id", item_text="a text")
+    assert {r.row["the.id"]: list(r.hits["items"]) for r in hits.collect()} == {1: [], 2: ["2"], 3: ["3"]}
+
+
+def test_repeated_rows_and_copies_leave_one(spark):
+    text = "a text that is there many times over, as copies and as rows that repeat"
+    rows = [(i % 3, text, "x") for i in range(60)] + [(7, "quite another text with words of its own in it", "y")] * 5 + [(None, text, "z"), (None, None, "n"), (None, None, "n")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, more string")
+    assert sorted(map(str, simhash.keep_one(frame).collect())) == sorted(["Row(doc_id=0, text='" + text + "', more='x')", "Row(doc_id=7, text='quite another text with words of its own in it', more='y')", "Row(doc_id=None, text=None, more='n')"])
+
+
 def test_license_lines_of_the_whole_table_are_found_once_each(spark, sf):
     """Every place where a short notice stands word for word, by a regular expression over whole texts."""
     lines = {name: [x for x in texts if len(x.split()) < 12] for name, texts in licenses.TEMPLATES.items()}
