@@ -81,7 +81,11 @@ class Capture:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, f"{name}-{time.time_ns()}"
 
+    #: What a job group sets on the thread.
+    PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
     def __enter__(self) -> Capture:
+        self.before = {p: self.spark.sparkContext.getLocalProperty(p) for p in self.PROPERTIES}
         self.spark.sparkContext.setJobGroup(self.name, self.name)
         return self
 
@@ -91,4 +95,5 @@ class Capture:
         stages = {s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds}
         self.jobs, self.stages = len(jobs), len(stages)
         self.tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
-        self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for p, value in self.before.items():
+            self.spark.sparkContext.setLocalProperty(p, value)
