@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ndgrid.llm.rows import map_texts, slices
-from ndgrid.runtime import cut, lean, ship
+from ndgrid.runtime import lean, ship
 
 #: A-Z fold to a-z, digits and every byte of a non-ASCII character stay, all else separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
-#: Characters of items in one automaton (about 50 bytes of memory each). A larger benchmark has several, and the texts
-#: go past one after the other, in passes of their own, so that a worker holds one at a time and builds it once.
+#: Characters of items in one automaton (about 50 bytes of memory each). A larger benchmark has several; the texts go
+#: past one after the other, each in a Python worker of its own that builds it once, within one pass over the table.
 MAX_AUTOMATON_CHARS = 4_000_000
 
 HITS = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
@@ -143,8 +143,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text",
     Returns ``keep`` (default: all columns) in a struct ``row``, and a struct ``hits``: n_words, n_hit (words inside any
     occurrence of a window), items (ids with an occurring window, sorted as strings) and spans (character offsets in the
     original text of the maximal runs of hit words). Texts are read whole, one row in gives one row out, so there is no
-    shuffle. The items' words are the only thing broadcast, MAX_AUTOMATON_CHARS characters at a time: a larger benchmark
-    takes a pass over the texts for each, and what the passes have found is written to the shared folder between them.
+    shuffle. The items' words are the only thing broadcast; they go through the driver, and an executor's memory grows
+    with the benchmark, as an automaton must. Above MAX_AUTOMATON_CHARS characters it is spread over several workers.
 
     Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; items with a
     null id are left out, as they cannot be named; items with the same id are one item; repeated documents each get
@@ -194,7 +194,7 @@ def _in_passes(docs: DataFrame, sent: list, text: str, keep: list[str]) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, _OUT)], names=["row", "hits"])
 
     for patterns in sent:
-        rows = cut(rows.mapInArrow(lean(add(patterns)), rows.schema), "contamination")
+        rows = rows.mapInArrow(lean(add(patterns)), rows.schema)
     out = T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"hits {HITS}").fields])
     return rows.mapInArrow(lean(summed), out)
 
