@@ -2,8 +2,8 @@
 
 The index cuts the vectors into blocks. In a block, component d of every row, less the block's least value there, is
 held as bit slices: bitmap j has a bit for each row whose value has bit j set. A query's scores are a sum of slices:
-|q_d| is a sum of powers of two, so slice j of dimension d counts at weight j + i for each set bit i of |q_d|, and for
-a negative q_d the inverted slices count. Carry-save addition (three bitmaps of a weight give one of that weight and
+q_d is a sum of signed powers of two, as few as there can be (no two next to each other), so slice j of dimension d
+counts at weight j + i for each 2**i among them, inverted for each -2**i. Carry-save addition (three bitmaps of a weight give one of that weight and
 one of the next) turns them into the bit slices of the score. From the highest slice down, the rows that can still be
 among the k best are narrowed by bitmap AND; rows equal in every slice are at the boundary and go by their id.
 
@@ -116,9 +116,7 @@ class Block:
         self.ids, self.least, self.bits, self.n_slices = ids, least, bits, len(slices)
         words = -(-len(ids) // 64)
         self.rows = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-        # A slice's dimension and weight, and all slices with their inverses behind them.
-        self.dim_of = np.repeat(np.arange(len(bits)), bits)
-        self.weight_of = np.arange(len(slices)) - (np.cumsum(bits) - bits)[self.dim_of]
+        # All slices, and their inverses behind them.
         self.both = np.concatenate((slices, ~slices))
 
     @classmethod
@@ -132,18 +130,23 @@ class Block:
         """(row id, score) of the k best rows for the quantised query ``q``."""
         dims = min(len(self.bits), len(q))
         q = q[:dims]
-        size = np.abs(q)
-        constant = sum(x * low - (-x * ((1 << b) - 1) if x < 0 else 0) for x, low, b in zip(q.tolist(), self.least, self.bits.tolist()))
-        padded = np.concatenate((size, np.zeros(len(self.bits) - dims, dtype=size.dtype)))
-        at = np.flatnonzero((padded > 0)[self.dim_of])
-        row_of = at + np.where((q < 0)[self.dim_of[at]], self.n_slices, 0)
-        columns: dict[int, list[np.ndarray]] = {}
-        for i in range(int(size.max()).bit_length() if dims else 0):
-            use = (((padded >> i) & 1) == 1)[self.dim_of[at]].astype(bool)
-            weights = self.weight_of[at[use]] + i
-            picked = row_of[use]
-            for w in np.unique(weights):
-                columns.setdefault(int(w), []).append(self.both[picked[weights == w]])
+        # Binary digits 1, 0 and -1 of each component: plus and minus are the sums of those of either sign.
+        half = np.abs(q) >> 1
+        third = np.abs(q) + half
+        plus, minus = third & (half ^ third), half & (half ^ third)
+        plus, minus = np.where(q < 0, minus, plus), np.where(q < 0, plus, minus)
+        constant = sum(x * low - m * ((1 << b) - 1) for x, low, m, b in zip(q.tolist(), self.least, minus.tolist(), self.bits.tolist()))
+        place = np.arange(int(third.max()).bit_length() if dims else 0)
+        bit = lambda x: ((x[:, None] >> place) & 1).astype(bool)
+        down = bit(minus)
+        dim, i = np.nonzero(bit(plus) | down)
+        n, first = self.bits[dim], (np.cumsum(self.bits) - self.bits)[dim]
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rows = np.repeat(first + down[dim, i] * self.n_slices, n) + j
+        weights = j + np.repeat(i, n)
+        order = np.argsort(weights, kind="stable")
+        edges = np.flatnonzero(np.diff(weights[order], prepend=-1))
+        columns = {int(weights[some[0]]): [self.both[rows[some]]] for some in np.split(order, edges[1:]) if len(some)}
         score = add_slices(columns)
         own = self.rows
         if len(same := np.arange(np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, side="right"))):
