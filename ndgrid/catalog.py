@@ -259,7 +259,7 @@ for _name, _chain in _CHAINS.items():
 def _raw(spark, sf_dir):
     ship(spark)
     packed = ops.pack(embedding_cells(spark, sf_dir), CHUNK)
-    return packed.select("g0", "g1", filters.encode_values(F.col("vals"), [], "float32", CHUNK).alias("payload"))
+    return packed.select("g0", "g1", filters.encode_values(F.col("vals"), [], "float32").alias("payload"))
 
 
 @query(f"{_E} SELECT c0, c1, v FROM e")

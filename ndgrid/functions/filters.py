@@ -142,12 +142,15 @@ def _filter_chunks(cells: DataFrame, codec, chunk_shape: tuple[int, ...], kind:
     return cells.select(*names, "v").groupBy(*chunk_of(chunk_shape)).applyInArrow(run, schema)
 
 
-def encode_values(values: Column, codecs: list[dict], dtype: str, shape: tuple[int, ...]) -> Column:
-    """array<number> in C order -> payload. Null stays null."""
+def encode_values(values: Column, codecs: list[dict], dtype: str, shape: tuple[int, ...] | None = None) -> Column:
+    """array<number> in C order -> payload. Null stays null.
+
+    Without ``shape`` a chunk is as long as its values, which are fewer at an edge or where cells are missing.
+    """
 
     def run(chunks: pd.Series) -> pd.Series:
-        chain = Chain(codecs, dtype, shape)
-        return chunks.map(lambda c: None if c is None else chain.encode(np.asarray(c, dtype=dtype).reshape(shape)))
+        chain = Chain(codecs, dtype, shape or ())
+        return chunks.map(lambda c: None if c is None else chain.encode(np.asarray(c, dtype=dtype).reshape(-1 if shape is None else shape)))
 
     return F.pandas_udf(run, "binary")(values)
 

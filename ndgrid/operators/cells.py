@@ -126,7 +126,8 @@ def overwrite(cells: DataFrame, patch: DataFrame, ndim: int) -> DataFrame:
 
 
 def pack(cells: DataFrame, chunk_shape: tuple[int, ...]) -> DataFrame:
-    """g0 .., vals: the values of each chunk in C order. One chunk's cells meet in one row, which bounds the group."""
+    """g0 .., vals: the values of each chunk's cells in C order, fewer than its shape has at an edge or where cells are
+    missing. One chunk's cells meet in one row, which bounds the group."""
     row = F.struct(position_in(chunk_shape).alias("p"), F.col("v"))
     grouped = cells.groupBy(*chunk_of(chunk_shape)).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return grouped.select(*[f"g{i}" for i in range(len(chunk_shape))], F.transform("rows", lambda r: r["v"]).alias("vals"))
