@@ -225,14 +225,21 @@ def zone_map_scan(spark, sf_dir):
     return spark.read.format("ndgrid").load(root).where("v >= 0.3")
 
 
+def _encoded(spark, sf_dir, codecs: list[dict]):
+    """The embeddings' chunks as payloads, with the number of values in each and their places."""
+    ship(spark)
+    packed = ops.pack(embedding_cells(spark, sf_dir), CHUNK)
+    return packed.select("g0", "g1", "places", F.size("vals").alias("n"), filters.encode_values(F.col("vals"), codecs, "float32").alias("payload"))
+
+
+def _decoded(encoded, codecs: list[dict]):
+    values = filters.decode_values(F.col("payload"), codecs, "float32", F.col("n"), "float")
+    return ops.unpack(encoded.select("g0", "g1", "places", values.alias("vals")), CHUNK)
+
+
 def _round_trip(codecs: list[dict]):
     def run(spark, sf_dir):
-        ship(spark)
-        size = _size(spark, sf_dir)
-        packed = ops.pack(embedding_cells(spark, sf_dir), CHUNK)
-        encoded = packed.select("g0", "g1", filters.encode_values(F.col("vals"), codecs, "float32", CHUNK).alias("payload"))
-        decoded = encoded.select("g0", "g1", filters.decode_values(F.col("payload"), codecs, "float32", CHUNK, "float").alias("vals"))
-        return ops.unpack(decoded, CHUNK, (size, 64))
+        return _decoded(_encoded(spark, sf_dir, codecs), codecs)
 
     return run
 
@@ -257,9 +264,7 @@ for _name, _chain in _CHAINS.items():
 
 
 def _raw(spark, sf_dir):
-    ship(spark)
-    packed = ops.pack(embedding_cells(spark, sf_dir), CHUNK)
-    return packed.select("g0", "g1", filters.encode_values(F.col("vals"), [], "float32").alias("payload"))
+    return _encoded(spark, sf_dir, [])
 
 
 @query(f"{_E} SELECT c0, c1, v FROM e")
@@ -267,9 +272,8 @@ def codec_blosc_read(spark, sf_dir):
     """Containers as other writers make them, decoded by our reader."""
     from ndgrid.bench.fixtures import blosc_container
 
-    made = _raw(spark, sf_dir).select("g0", "g1", filters.on_bytes(lambda b: blosc_container(b, 4, 1024, "bit"), "binary")(F.col("payload")).alias("payload"))
-    decoded = made.select("g0", "g1", filters.decode_values(F.col("payload"), [{"name": "blosc"}], "float32", CHUNK, "float").alias("vals"))
-    return ops.unpack(decoded, CHUNK, (_size(spark, sf_dir), 64))
+    contained = filters.on_bytes(lambda b: blosc_container(b, 4, 1024, "bit"), "binary")
+    return _decoded(_raw(spark, sf_dir).withColumn("payload", contained(F.col("payload"))), [{"name": "blosc"}])
 
 
 #: Bytes of each chunk of the embeddings, in order: the bits of a float as a number, cut into four.

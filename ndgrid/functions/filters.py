@@ -7,6 +7,8 @@ chunks). Which one runs is chosen by argument, then by the process-wide override
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -155,14 +157,14 @@ def encode_values(values: Column, codecs: list[dict], dtype: str, shape: tuple[i
     return F.pandas_udf(run, "binary")(values)
 
 
-def decode_values(payload: Column, codecs: list[dict], dtype: str, shape: tuple[int, ...], element: str) -> Column:
-    """payload -> array<element> in C order. Null stays null."""
+def decode_values(payload: Column, codecs: list[dict], dtype: str, count: Column, element: str) -> Column:
+    """payload -> array<element> of ``count`` values in C order; any other number of them raises. Null stays null."""
 
-    def run(chunks: pd.Series) -> pd.Series:
-        chain = Chain(codecs, dtype, shape)
-        return chunks.map(lambda c: None if c is None else chain.decode(bytes(c)).ravel())
+    def run(chunks: pd.Series, counts: pd.Series) -> pd.Series:
+        chain = functools.cache(lambda n: Chain(codecs, dtype, (n,)))
+        return pd.Series([None if c is None else chain(n).decode(bytes(c)) for c, n in zip(chunks, counts)], dtype=object)
 
-    return F.pandas_udf(run, f"array<{element}>")(payload)
+    return F.pandas_udf(run, f"array<{element}>")(payload, count)
 
 
 def on_bytes(f, kind: str):

@@ -126,23 +126,26 @@ def overwrite(cells: DataFrame, patch: DataFrame, ndim: int) -> DataFrame:
 
 
 def pack(cells: DataFrame, chunk_shape: tuple[int, ...]) -> DataFrame:
-    """g0 .., vals: the values of each chunk's cells in C order, fewer than its shape has at an edge or where cells are
-    missing. One chunk's cells meet in one row, which bounds the group."""
+    """g0 .., vals, places: the values of each chunk's cells in C order, fewer than its shape has at an edge or where
+    cells are missing. One chunk's cells meet in one row, which bounds the group.
+
+    ``places`` has each value's place in the chunk, and is null if they are 0, 1, 2 and so on, as in a whole chunk.
+    """
     row = F.struct(position_in(chunk_shape).alias("p"), F.col("v"))
     grouped = cells.groupBy(*chunk_of(chunk_shape)).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return grouped.select(*[f"g{i}" for i in range(len(chunk_shape))], F.transform("rows", lambda r: r["v"]).alias("vals"))
+    places = F.transform("rows", lambda r: r["p"])
+    gapped = places != F.sequence(F.lit(0).cast("bigint"), F.size("rows").cast("bigint") - 1)
+    return grouped.select(*[f"g{i}" for i in range(len(chunk_shape))], F.transform("rows", lambda r: r["v"]).alias("vals"), F.when(gapped, places).alias("places"))
 
 
-def unpack(chunks: DataFrame, chunk_shape: tuple[int, ...], shape: tuple[int, ...], values: str = "vals") -> DataFrame:
-    """Chunks of values in C order -> cells; what lies beyond the array's edges is dropped."""
+def unpack(chunks: DataFrame, chunk_shape: tuple[int, ...], values: str = "vals") -> DataFrame:
+    """Chunks of values with their places, as :func:`pack` gives them -> cells."""
     n = len(chunk_shape)
-    cells = chunks.select(*[f"g{i}" for i in range(n)], F.posexplode(values).alias("p", "v"))
+    cells = chunks.select(*[f"g{i}" for i in range(n)], "places", F.posexplode(values).alias("i", "v"))
+    cells = cells.select("*", F.when(F.col("places").isNull(), F.col("i")).otherwise(F.col("places")[F.col("i")]).cast("bigint").alias("p"))
     cols, step = [], 1
     for i in reversed(range(n)):
-        cols.append(F.expr(f"g{i} * {chunk_shape[i]} + p div {step} % {chunk_shape[i]}").cast("bigint").alias(f"c{i}"))
+        along = f"floor(p / {step})"  # below 0 where the first coordinate is
+        cols.append(F.expr(f"g{i} * {chunk_shape[i]} + {along if i == 0 else f'pmod({along}, {chunk_shape[i]})'}").cast("bigint").alias(f"c{i}"))
         step *= chunk_shape[i]
-    cells = cells.select(*reversed(cols), "v")
-    for i, size in enumerate(shape):
-        if size % chunk_shape[i]:
-            cells = cells.where(F.col(f"c{i}") < size)
-    return cells
+    return cells.select(*reversed(cols), "v")

@@ -11,6 +11,7 @@ from ndgrid import catalog
 
 NAMES = [
     "checksums",
+    "codec_gzip",
 ]
 
 
@@ -23,12 +24,12 @@ def _write(folder, ids, lengths):
 
 @pytest.fixture(scope="module", params=["edge", "holes"])
 def ragged(request, tmp_path_factory):
-    """A table whose last chunk has 6 of 50 rows; and one with missing rows, a chunk of one value, and other lengths."""
+    """A table whose last chunk has 6 of 50 rows; and one with missing rows, a row below 0, a chunk of one value, and other lengths."""
     folder = tmp_path_factory.mktemp(request.param)
     if request.param == "edge":
         _write(folder, list(range(106)), [64] * 106)
     else:
-        ids = [i for i in range(130) if i % 7 and not 50 <= i < 100] + [310]
+        ids = [i for i in range(130) if i % 7 and not 50 <= i < 100] + [-3, 310]
         _write(folder, ids, [(64, 37, 0, 70)[i % 4] for i in range(len(ids) - 1)] + [1])
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
