@@ -12,6 +12,7 @@ from ndgrid import catalog
 NAMES = [
     "checksums",
     "codec_gzip",
+    "codec_native_bitpack",
 ]
 
 
