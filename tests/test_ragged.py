@@ -13,6 +13,7 @@ NAMES = [
     "checksums",
     "codec_gzip",
     "codec_native_bitpack",
+    "codec_native_gdeflate",
 ]
 
 
