@@ -14,6 +14,7 @@ NAMES = [
     "codec_gzip",
     "codec_native_bitpack",
     "codec_native_gdeflate",
+    "codec_zstd",
 ]
 
 
