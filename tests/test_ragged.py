@@ -15,6 +15,7 @@ NAMES = [
     "codec_native_bitpack",
     "codec_native_gdeflate",
     "codec_zstd",
+    "codec_blosc_read",
 ]
 
 
