@@ -17,6 +17,7 @@ NAMES = [
     "codec_zstd",
     "codec_blosc_read",
     "codec_lz4",
+    "codec_native_cascaded",
 ]
 
 
