@@ -18,6 +18,7 @@ NAMES = [
     "codec_blosc_read",
     "codec_lz4",
     "codec_native_cascaded",
+    "codec_native_snappy",
 ]
 
 
