@@ -19,6 +19,7 @@ NAMES = [
     "codec_lz4",
     "codec_native_cascaded",
     "codec_native_snappy",
+    "shuffle_bytes",
 ]
 
 
