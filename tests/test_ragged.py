@@ -20,6 +20,7 @@ NAMES = [
     "codec_native_cascaded",
     "codec_native_snappy",
     "shuffle_bytes",
+    "codec_crc32c_zstd",
 ]
 
 
