@@ -21,6 +21,7 @@ NAMES = [
     "codec_native_snappy",
     "shuffle_bytes",
     "codec_crc32c_zstd",
+    "codec_native_balanced",
 ]
 
 
