@@ -22,6 +22,7 @@ NAMES = [
     "shuffle_bytes",
     "codec_crc32c_zstd",
     "codec_native_balanced",
+    "codec_native_deflate",
 ]
 
 
