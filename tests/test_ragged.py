@@ -23,6 +23,7 @@ NAMES = [
     "codec_crc32c_zstd",
     "codec_native_balanced",
     "codec_native_deflate",
+    "codec_zlib_shuffle",
 ]
 
 
