@@ -226,15 +226,15 @@ def zone_map_scan(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir, codecs: list[dict]):
-    """The embeddings' chunks as payloads, with the number of values in each and their places."""
+    """The embeddings' chunks as payloads, with the number of values in each, their places, and the number of null cells."""
     ship(spark)
     packed = ops.pack(embedding_cells(spark, sf_dir), CHUNK)
-    return packed.select("g0", "g1", "places", F.size("vals").alias("n"), filters.encode_values(F.col("vals"), codecs, "float32").alias("payload"))
+    return packed.select("g0", "g1", "places", "nulls", F.size("vals").alias("n"), filters.encode_values(F.col("vals"), codecs, "float32").alias("payload"))
 
 
 def _decoded(encoded, codecs: list[dict]):
     values = filters.decode_values(F.col("payload"), codecs, "float32", F.col("n"), "float")
-    return ops.unpack(encoded.select("g0", "g1", "places", values.alias("vals")), CHUNK)
+    return ops.unpack(encoded.select("g0", "g1", "places", "nulls", values.alias("vals")), CHUNK)
 
 
 def _round_trip(codecs: list[dict]):

@@ -126,22 +126,26 @@ def overwrite(cells: DataFrame, patch: DataFrame, ndim: int) -> DataFrame:
 
 
 def pack(cells: DataFrame, chunk_shape: tuple[int, ...]) -> DataFrame:
-    """g0 .., vals, places: the values of each chunk's cells in C order, fewer than its shape has at an edge or where
-    cells are missing. One chunk's cells meet in one row, which bounds the group.
+    """g0 .., vals, places, nulls: the values of each chunk's cells in C order, fewer than its shape has at an edge or
+    where cells are missing or null. One chunk's cells meet in one row, which bounds the group.
 
-    ``places`` has each value's place in the chunk, and is null if they are 0, 1, 2 and so on, as in a whole chunk.
+    ``places`` has each value's place in the chunk and then those of the ``nulls`` cells that hold null; it is null if
+    they are 0, 1, 2 and so on, as in a whole chunk.
     """
-    row = F.struct(position_in(chunk_shape).alias("p"), F.col("v"))
-    grouped = cells.groupBy(*chunk_of(chunk_shape)).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct(F.col("v").isNull().alias("empty"), position_in(chunk_shape).alias("p"), F.col("v"))
+    grouped = cells.groupBy(*chunk_of(chunk_shape)).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count_if(F.col("v").isNull()).cast("int").alias("nulls"))
     places = F.transform("rows", lambda r: r["p"])
     gapped = places != F.sequence(F.lit(0).cast("bigint"), F.size("rows").cast("bigint") - 1)
-    return grouped.select(*[f"g{i}" for i in range(len(chunk_shape))], F.transform("rows", lambda r: r["v"]).alias("vals"), F.when(gapped, places).alias("places"))
+    held = F.slice("rows", F.lit(1), F.size("rows") - F.col("nulls"))
+    return grouped.select(*[f"g{i}" for i in range(len(chunk_shape))], F.transform(held, lambda r: r["v"]).alias("vals"), F.when(gapped, places).alias("places"), "nulls")
 
 
 def unpack(chunks: DataFrame, chunk_shape: tuple[int, ...], values: str = "vals") -> DataFrame:
-    """Chunks of values with their places, as :func:`pack` gives them -> cells."""
+    """Chunks of values with their places and nulls, as :func:`pack` gives them -> cells."""
     n = len(chunk_shape)
-    cells = chunks.select(*[f"g{i}" for i in range(n)], "places", F.posexplode(values).alias("i", "v"))
+    empty = F.array_repeat(F.lit(None).cast(chunks.schema[values].dataType.elementType), F.col("nulls"))
+    whole = F.when(F.col("nulls") == 0, F.col(values)).otherwise(F.concat(values, empty))
+    cells = chunks.select(*[f"g{i}" for i in range(n)], "places", F.posexplode(whole).alias("i", "v"))
     cells = cells.select("*", F.when(F.col("places").isNull(), F.col("i")).otherwise(F.col("places")[F.col("i")]).cast("bigint").alias("p"))
     cols, step = [], 1
     for i in reversed(range(n)):
