@@ -11,6 +11,7 @@ from ndgrid import catalog
 NAMES = [
     "codec_native_bitpack",
     "codec_native_gdeflate",
+    "codec_zstd",
     "codec_zlib_shuffle",
 ]
 
