@@ -12,6 +12,7 @@ NAMES = [
     "codec_native_bitpack",
     "codec_native_gdeflate",
     "codec_zstd",
+    "codec_blosc_read",
     "codec_zlib_shuffle",
 ]
 
