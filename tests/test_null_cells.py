@@ -13,6 +13,7 @@ NAMES = [
     "codec_native_gdeflate",
     "codec_zstd",
     "codec_blosc_read",
+    "codec_lz4",
     "codec_zlib_shuffle",
 ]
 
