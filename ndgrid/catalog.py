@@ -282,7 +282,9 @@ _B = f"{_E}, u AS (SELECT c0 // 50 AS g0, c1 // 16 AS g1, (c0 % 50) * 16 + c1 %
 
 @query(f"{_B} SELECT g0, g1, string_agg(printf('%02X', b), '' ORDER BY k, p) AS shuffled FROM b GROUP BY g0, g1")
 def shuffle_bytes(spark, sf_dir):
-    return _raw(spark, sf_dir).select("g0", "g1", F.hex(filters.shuffle_bytes(F.col("payload"), 4)).alias("shuffled"))
+    """A null cell has no bytes, and a chunk of nothing else has null."""
+    planes = F.hex(filters.shuffle_bytes(F.col("payload"), 4))
+    return _raw(spark, sf_dir).select("g0", "g1", F.when(F.col("n") > 0, planes).alias("shuffled"))
 
 
 def _crc_table(name: str, polynomial: int) -> str:

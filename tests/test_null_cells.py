@@ -16,6 +16,7 @@ NAMES = [
     "codec_lz4",
     "codec_native_cascaded",
     "codec_native_snappy",
+    "shuffle_bytes",
     "codec_zlib_shuffle",
 ]
 
